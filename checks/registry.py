@@ -24,7 +24,10 @@ from skuflow.sources import tables as S
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-NOW = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+
+def _now():
+    """A fixed load time, so that the SQL can repeat it."""
+    return F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
 
 
 def query(fn: Query) -> Query:
@@ -77,7 +80,7 @@ def _valid(spark, d):
 
 
 def _objects(spark, d, valid):
-    return stage(E.edited_objects(adapter.catalogue(spark, d), valid, NOW), "edited")
+    return stage(E.edited_objects(adapter.catalogue(spark, d), valid, _now()), "edited")
 
 
 def _set_rows(spark, d, valid):
@@ -205,7 +208,7 @@ def split_create(spark, d):
 
 @query
 def merge_catalogue(spark, d):
-    return jobs.new_mapping(adapter.feed(spark, d), adapter.catalogue(spark, d), NOW).catalogue
+    return jobs.new_mapping(adapter.feed(spark, d), adapter.catalogue(spark, d), _now()).catalogue
 
 
 @query
@@ -222,7 +225,7 @@ def stamp_catalogue(spark, d):
 @query
 def stamp_and_insert(spark, d):
     sellers = D.feed_latest(adapter.feed(spark, d))
-    return G.stamp_catalogue_from_feed(adapter.catalogue(spark, d), sellers, True, NOW)
+    return G.stamp_catalogue_from_feed(adapter.catalogue(spark, d), sellers, True, _now())
 
 
 @query
@@ -243,7 +246,7 @@ def csv_conform(spark, d):
 @query
 def dump(spark, d):
     csv = S.read_catalogue_csv(spark, _catalogue_csv(spark, d))
-    return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), NOW)
+    return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now())
 
 
 # Exploration.
@@ -392,7 +395,7 @@ def edit_propagate_asin(spark, d):
 def _edited(spark, d):
     return E.apply_edits(
         adapter.catalogue(spark, d), adapter.staged_before(spark, d),
-        adapter.hierarchy(spark, d), adapter.edits(spark, d), NOW,
+        adapter.hierarchy(spark, d), adapter.edits(spark, d), _now(),
     )
 
 

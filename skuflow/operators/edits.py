@@ -17,7 +17,7 @@ from skuflow.functions import (
     is_blank, strip,
 )
 from skuflow.functions.text import department_column
-from skuflow.operators.joins import lookup, put
+from skuflow.operators.joins import keep_matching, lookup, put
 from skuflow.operators.mapping import fill_blank
 from skuflow.schemas import (
     ATTRIBUTIONS, CATALOGUE, DEFAULT_CHANNEL, DEFAULT_SALES_TABLE, EDITS, STAGING,
@@ -204,11 +204,12 @@ def first_reference(catalogue: DataFrame, objects: DataFrame) -> DataFrame:
     """Per edited internal SKU the complete catalogue row with the lowest id."""
     complete = ~is_blank(F.col("level_1")) & ~is_blank(F.col("linworks_title"))
     wanted = objects.select(_im_key().alias("key")).where("key is not null").distinct()
+    candidates = catalogue.where(complete).select(
+        fold_case(F.col("im_sku")).alias("im_key"), "id", "level_1", "linworks_title"
+    )
     return (
-        catalogue.where(complete)
-        .select(fold_case(F.col("im_sku")).alias("key"), "id", "level_1", "linworks_title")
-        .join(wanted, "key", "left_semi")
-        .groupBy("key")
+        keep_matching(candidates, wanted, {"key": F.col("im_key")})
+        .groupBy(F.col("im_key").alias("key"))
         .agg(F.min_by(F.struct("id", "level_1", "linworks_title"), F.col("id")).alias("ref"))
     )
 
@@ -267,8 +268,8 @@ def edit_summary(catalogue: DataFrame, valid: DataFrame) -> DataFrame:
     """
     asins = valid.select("asin").distinct()
     counts = (
-        catalogue.select("asin").join(asins, "asin", "left_semi").groupBy("asin")
-        .agg(F.count("*").alias("n"))
+        keep_matching(catalogue.select("asin"), asins, {"asin": F.col("asin")})
+        .groupBy("asin").agg(F.count("*").alias("n"))
     )
     n = F.coalesce(F.col("n"), F.lit(0))
     # The two messages.

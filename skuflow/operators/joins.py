@@ -66,10 +66,18 @@ def bulk_update(
     return put(joined, F.col("_upd").isNotNull(), values).drop("_upd")
 
 
+def keep_matching(
+    left: DataFrame, keys: DataFrame, on: Mapping[str, Column], hot: bool = True
+) -> DataFrame:
+    """Rows of ``left`` whose key is among the distinct ``keys``."""
+    marked = lookup(left, keys.withColumn("_found", F.lit(True)), on, "_found", hot)
+    return marked.where(F.col("_found").isNotNull()).drop("_found")
+
+
 def split_update_create(
     updates: DataFrame, target: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Rows whose key the target holds, and the rest."""
-    existing = target.select(*keys)
+    existing = target.select(*keys).distinct()
     on = list(keys)
     return updates.join(existing, on, "left_semi"), updates.join(existing, on, "left_anti")

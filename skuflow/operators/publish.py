@@ -17,7 +17,7 @@ from skuflow.operators.joins import lookup, put
 from skuflow.schemas import HIERARCHY, SKU_REGION, STAGING
 from skuflow.session import stage
 
-
+_VALUES = [c for c in HIERARCHY.names if c not in SKU_REGION]
 _MAX_LENGTH = 255
 
 
@@ -89,11 +89,13 @@ def last_parent_per_im_sku(staged: DataFrame) -> DataFrame:
 
 
 def resolve_parents(staged: DataFrame) -> DataFrame:
-    """Upserts with the parent they end up with."""
-    upserts = staged.where(F.col("action") == "upsert")
-    joined = lookup(upserts, last_parent_per_im_sku(staged), {"im_sku": F.col("im_sku")}, "last")
-    later = F.coalesce(_position() < F.col("last.pos"), F.lit(False))
-    return put(joined, later, {"parent_sku": F.col("last.parent_sku")}).drop("last")
+    """Staged rows with the parent they end up with."""
+    on = {"im_sku": F.col("im_sku")}
+    joined = lookup(staged, last_parent_per_im_sku(staged), on, "last")
+    later = (F.col("action") == "upsert") & (_position() < F.col("last.pos"))
+    return put(joined, F.coalesce(later, F.lit(False)), {
+        "parent_sku": F.col("last.parent_sku")
+    }).drop("last")
 
 
 def propagate_parent_on_publish(hierarchy: DataFrame, staged: DataFrame) -> DataFrame:
@@ -110,17 +112,16 @@ def unmap(hierarchy: DataFrame, staged: DataFrame) -> DataFrame:
     return hierarchy.join(gone, SKU_REGION, "left_anti")
 
 
-def _published(hierarchy: DataFrame, upserts: DataFrame) -> DataFrame:
-    """Upserts once per hierarchy row of their key, or once as an insert."""
-    return upserts.select(*HIERARCHY.names).join(
-        hierarchy.select(*SKU_REGION), SKU_REGION, "left"
-    ).select(*HIERARCHY.names)
-
-
 def hierarchy_upsert(hierarchy: DataFrame, upserts: DataFrame) -> DataFrame:
     """Overwrite every row of a staged key, insert keys not held."""
-    rest = hierarchy.join(upserts.select(*SKU_REGION), SKU_REGION, "left_anti")
-    return rest.select(*HIERARCHY.names).unionByName(_published(hierarchy, upserts))
+    on = {k: F.col(k) for k in SKU_REGION}
+    records = upserts.select(*SKU_REGION, F.struct(*_VALUES).alias("rec"))
+    joined = lookup(hierarchy.select(*HIERARCHY.names), records, on)
+    values = {c: F.col(f"rec.{c}") for c in _VALUES}
+    updated = put(joined, F.col("rec").isNotNull(), values).drop("rec")
+    held = hierarchy.select(*SKU_REGION).distinct()
+    inserts = upserts.select(*HIERARCHY.names).join(held, SKU_REGION, "left_anti")
+    return updated.unionByName(inserts)
 
 
 def consume_staging(staging: DataFrame, staged: DataFrame) -> DataFrame:
@@ -141,11 +142,10 @@ def publish(
 ) -> Published:
     """Publish everything staged (M9)."""
     staged = stage(with_action(staging_last(staging), max_length), "staged")
-    done = staged.where(F.col("action").isin("upsert", "unmap")).select(*SKU_REGION)
-    rest = hierarchy.join(done, SKU_REGION, "left_anti").select(*HIERARCHY.names)
-    kept = propagate_parent_on_publish(rest, staged)
+    upserts = resolve_parents(staged).where(F.col("action") == "upsert")
+    kept = propagate_parent_on_publish(unmap(hierarchy, staged), staged)
     return Published(
-        hierarchy=kept.unionByName(_published(hierarchy, resolve_parents(staged))),
+        hierarchy=hierarchy_upsert(kept, upserts),
         staging=consume_staging(staging, staged),
         actions=publish_actions(staged, hierarchy),
         summary=publish_summary(staged),

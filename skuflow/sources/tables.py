@@ -85,8 +85,12 @@ def read_catalogue_csv(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV part files with a header; quotes inside fields are doubled (K3)."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """CSV part files with a header; quotes are doubled and blanks kept (K3)."""
+    (
+        df.write.option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def dashboard_rows(df: DataFrame) -> DataFrame:
@@ -111,19 +115,16 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed snapshot numbers, ascending."""
-    fs, target = _fs(spark, root)
-    if not fs.exists(target):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(target)]
-    found = [int(n[2:]) for n in names if n.startswith("v=")]
-    return sorted(v for v in found if _exists(spark, f"{root}/v={v}/{_MARKER}"))
+def _matches(spark: SparkSession, pattern: str) -> set[int]:
+    """Numbers of the snapshots that hold a file."""
+    fs, target = _fs(spark, pattern)
+    found = fs.globStatus(target) or []
+    return {int(status.getPath().getParent().getName()[2:]) for status in found}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs(spark, path)
-    return fs.exists(target)
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Committed snapshot numbers, ascending."""
+    return sorted(_matches(spark, f"{root}/v=*/{_MARKER}"))
 
 
 def _touch(spark: SparkSession, path: str) -> None:
@@ -140,9 +141,7 @@ def read_table(spark: SparkSession, root: str, name: str, version: int | None =
 
 def committed(spark: SparkSession, root: str, txn: str) -> bool:
     """Whether a snapshot was committed under this transaction name."""
-    return any(
-        _exists(spark, f"{root}/v={v}/_TXN_{txn}") for v in reversed(versions(spark, root))
-    )
+    return bool(_matches(spark, f"{root}/v=*/_TXN_{txn}") & set(versions(spark, root)))
 
 
 def commit(
