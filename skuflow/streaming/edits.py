@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from skuflow.operators.edits import apply_edits
@@ -12,22 +14,29 @@ from skuflow.sources.tables import commit, committed, read_table
 TABLES = ["catalogue", "staging", "hierarchy"]
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id that a stream keeps for as long as its checkpoint exists."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+
+
 def stream_edits(
     edits: DataFrame, root: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Run every micro-batch of edits as one batch and commit one snapshot.
 
-    A batch replayed after a failure is recognised by its number and skipped, so each
-    edit takes effect once. Rejected edits and the summary are part of the snapshot.
+    A batch replayed after a failure is recognised by stream id and number and skipped,
+    so each edit takes effect once. A new checkpoint is a new stream and applies its
+    source from the start. Rejected edits and the summary are part of the snapshot.
     """
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if committed(spark, root, f"edits_{number}"):
+        txn = f"edits_{_stream_id(spark, checkpoint)}_{number}"
+        if committed(spark, root, txn):
             return
         with stage_scope(spark):
             tables = [read_table(spark, root, t) for t in TABLES]
             result = apply_edits(*tables, batch)
-            commit(spark, root, result._asdict(), txn=f"edits_{number}")
+            commit(spark, root, result._asdict(), txn)
 
     writer = edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
