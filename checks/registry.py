@@ -18,7 +18,7 @@ from skuflow.operators import publish as P
 from skuflow.operators.joins import split_update_create
 from skuflow.plans import jobs
 from skuflow.schemas import CSV_COLUMN_NAMES, EDITS, FULL_KEY
-from skuflow.session import new_path, stage
+from skuflow.session import drop_at_exit, new_path, stage
 from skuflow.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,7 @@ def _catalogue_csv(spark, d):
     path = new_path(spark, "catalogue-csv")
     names = [F.col(c).alias(n) for n, c in CSV_COLUMN_NAMES.items()]
     S.write_csv(adapter.catalogue(spark, d).select(*names), path)
+    drop_at_exit(spark, path)
     return path
 
 

@@ -45,14 +45,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete ``path`` when it ends."""
+    fs, target = _fs(spark, path)
+    fs.deleteOnExit(target)
+
+
 @contextmanager
 def stage_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the stage tables written inside once the block's results are stored.
 
-    Outside any scope they stay, since the DataFrames handed out still read them.
+    Outside any scope they stay until the driver ends, since the DataFrames handed out
+    still read them.
     """
     paths: list[str] = []
     token = _scope.set(paths)
@@ -60,7 +73,6 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        conf = spark._jsc.hadoopConfiguration()
         for path in paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            fs, target = _fs(spark, path)
+            fs.delete(target, True)
