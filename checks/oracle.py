@@ -412,6 +412,9 @@ BODIES = {
     "sample_rows": f"select {_C} from catalogue where level_1 is not null order by id limit 3",
     "edited_ids": f"select {_C} from catalogue where id in (select id from edits)",
     "match_count": "select count(*) as n from catalogue where lower(im_sku) = 'im7'",
+    "json_rows": f"""select cast(to_json({{{', '.join(
+            f"'{c}': " + (f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')" if c.endswith('_at') else c)
+            for c in CATALOGUE)}}}) as varchar) as record from catalogue""",
     "staging_last": "select * from last_staged",
     "publish_actions": """select a.marketplace_sku, a.region, a.action, exists (select 1 from hierarchy h
         where h.marketplace_sku = a.marketplace_sku and h.region = a.region) as exists, a.n_rows from actions a""",

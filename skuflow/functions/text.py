@@ -9,6 +9,7 @@ __all__ = [
     "strip", "is_blank", "norm_key_sql", "norm_key_py", "edit_strip", "fold_case",
     "iexact", "base_sku", "plus_sku", "null_if_marker", "toggle_prefix",
     "company_for_region", "canonical_channel", "department_of", "datetime_text",
+    "iso_text", "utc_now",
     "ALT_PREFIX", "CSV_NULLS",
 ]
 
@@ -124,8 +125,19 @@ def department_column(name: str) -> str:
 
 
 def datetime_text(c: Column) -> Column:
-    """Text of a timestamp: six fractional digits, or none when they are zero."""
-    whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(
-        F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    )
+    """Text of a timestamp: six fractional digits, or none when they are zero.
+
+    A cast rather than a date format, which would go through the session's time zone.
+    """
+    text = c.cast("string")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
+
+
+def iso_text(c: Column) -> Column:
+    """ISO 8601 text of a UTC timestamp."""
+    return F.concat(F.replace(datetime_text(c), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
+def utc_now() -> Column:
+    """Current time in UTC without a zone, like the stored timestamps."""
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())

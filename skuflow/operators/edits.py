@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skuflow.functions import (
     canonical_channel, company_for_region, department_of, edit_strip, fold_case,
-    is_blank, strip,
+    is_blank, strip, utc_now,
 )
 from skuflow.functions.text import department_column
 from skuflow.operators.joins import keep_matching, lookup, put
@@ -296,7 +296,7 @@ def apply_edits(
     now: Column | None = None,
 ) -> Edited:
     """New versions of the three tables, a line per edit, and the rejected edits."""
-    now = F.localtimestamp() if now is None else now
+    now = utc_now() if now is None else now
     checked = stage(check_edits(edits, staging), "checked-edits")
     valid = checked.where(F.col("reason").isNull()).select(*EDITS.names)
     objects = stage(edited_objects(catalogue, valid, now), "edited")

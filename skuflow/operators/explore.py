@@ -101,8 +101,9 @@ def date_facet_filter(df: DataFrame, column: str, choice: str, today: Column) ->
 
 def date_drilldown(df: DataFrame, column: str, level: str) -> DataFrame:
     """Row counts per year, month or day."""
-    period = F.date_trunc(level, F.col(column)).cast("timestamp_ntz")
-    return df.groupBy(period.alias("period")).agg(F.count("*").alias("n"))
+    day = F.col(column).cast("date")
+    period = day if level == "day" else F.trunc(day, level)
+    return df.groupBy(period.cast("timestamp_ntz").alias("period")).agg(F.count("*").alias("n"))
 
 
 def list_view(df: DataFrame, columns: Sequence[str] = tuple(CATALOGUE_LIST)) -> DataFrame:

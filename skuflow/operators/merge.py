@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.functions import datetime_text, fold_case, is_blank
+from skuflow.functions import datetime_text, fold_case, is_blank, utc_now
 from skuflow.operators.joins import bulk_update, lookup, put
 from skuflow.operators.ordered import number_rows
 from skuflow.schemas import CATALOGUE, FEED_ORDER, FULL_KEY, MAPPED_VALUES, RECORD
@@ -38,7 +38,7 @@ def append_rows(
     highest: Column | None = None,
 ) -> DataFrame:
     """Append rows with the next free ids, numbered in ``order`` (K1)."""
-    now = F.localtimestamp() if now is None else now
+    now = utc_now() if now is None else now
     highest = next_id_after(target) if highest is None else highest
     numbered = number_rows(new, order, highest, "id", "append")
     return target.unionByName(as_catalogue(numbered, now))

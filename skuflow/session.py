@@ -16,6 +16,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 _scope: ContextVar[list[str] | None] = ContextVar("stage_scope", default=None)
 
 
@@ -26,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="skuflow-")
-    spark.conf.set(_DIR_KEY, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="skuflow-")
+    return _local_dirs[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skuflow.functions import CSV_NULLS, is_blank
+from skuflow.functions import CSV_NULLS, is_blank, iso_text
 from skuflow.schemas import CSV_COLUMN_NAMES, CSV_OPTIONAL, FEED, FEED_COLUMN_NAMES
 
 
@@ -95,8 +95,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def dashboard_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON records, null fields included (K5)."""
-    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
-    return df.select(F.to_json(F.struct("*"), options).alias("record"))
+    fields = [
+        iso_text(F.col(f.name)).alias(f.name)
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))
+        else F.col(f.name)
+        for f in df.schema
+    ]
+    return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def lookup_by_id(df: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
@@ -133,10 +138,15 @@ def _touch(spark: SparkSession, path: str) -> None:
 
 
 def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """A table of the newest committed snapshot, or of a given one (S3)."""
-    if version is None:
-        version = versions(spark, root)[-1]
-    return spark.read.parquet(f"{root}/v={version}/{name}")
+    """A table as of the newest committed snapshot, or of a given one (S3).
+
+    A snapshot holds the tables it changed; the others are found in earlier ones.
+    """
+    held = _matches(spark, f"{root}/v=*/{name}") & set(versions(spark, root))
+    known = [v for v in held if version is None or v <= version]
+    if not known:
+        raise LookupError(f"no snapshot of {name!r} below {root}")
+    return spark.read.parquet(f"{root}/v={max(known)}/{name}")
 
 
 def committed(spark: SparkSession, root: str, txn: str) -> bool:
@@ -147,7 +157,7 @@ def committed(spark: SparkSession, root: str, txn: str) -> bool:
 def commit(
     spark: SparkSession, root: str, tables: Mapping[str, DataFrame], txn: str | None = None
 ) -> int:
-    """Write all tables as one snapshot; readers see all of it or none (K4).
+    """Write the changed tables as one snapshot; readers see all of it or none (K4).
 
     An interrupted attempt leaves no marker and its number is written again. There is one
     writer per root.

@@ -40,9 +40,17 @@ def conf(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.fixture
-def many_slices(conf):
-    """Keep range partitions apart although the test data are small."""
-    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+@pytest.fixture(params=["apart", "coalesced"])
+def many_slices(conf, request):
+    """Several range slices although the test data are small."""
+    if request.param == "apart":
+        conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    else:
+        conf(
+            spark__sql__shuffle__partitions="16",
+            spark__sql__adaptive__coalescePartitions__parallelismFirst="false",
+            spark__sql__adaptive__advisoryPartitionSizeInBytes="1KB",
+            spark__sql__adaptive__coalescePartitions__minPartitionSize="256B",
+        )
 
 

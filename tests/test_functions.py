@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime
+from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from skuflow import functions as fn
@@ -54,13 +55,24 @@ def test_fixed_maps(spark):
     ]
 
 
-def test_datetime_text_is_pythons(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_datetime_text_is_pythons(spark, conf, zone):
+    conf(spark__sql__session__timeZone=zone)
     values = [
         datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 500000),
-        datetime(2024, 1, 2, 3, 4, 5, 7), None,
+        datetime(2024, 3, 10, 2, 30), datetime(2024, 1, 2, 3, 4, 5, 7), None,
     ]
     expected = [None if v is None else str(v) for v in values]
     assert _apply(spark, fn.datetime_text, values, "timestamp_ntz") == expected
+    iso = [None if v is None else v.isoformat() + "Z" for v in values]
+    assert _apply(spark, fn.iso_text, values, "timestamp_ntz") == iso
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_now_is_utc(spark, conf, zone):
+    conf(spark__sql__session__timeZone=zone)
+    got = spark.range(1).select(fn.utc_now()).first()[0]
+    assert abs((datetime.now(timezone.utc).replace(tzinfo=None) - got).total_seconds()) < 60
 
 
 def test_department(spark):

@@ -11,9 +11,8 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
-def test_every_query_but_json_has_sql():
-    assert set(QUERIES) - set(ORACLE) == {"json_rows"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -22,10 +21,7 @@ def test_query(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
-    if name in ORACLE:
-        assert compare(df, SF, ORACLE[name]) is None
-    else:
-        assert df.count() > 0
+    assert compare(df, SF, ORACLE[name]) is None
 
 
 def test_entry(spark):

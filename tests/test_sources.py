@@ -63,7 +63,7 @@ def test_require_fields(spark):
 def test_json_keeps_nulls(spark):
     record = json.loads(T.dashboard_rows(catalogue(spark, [{"id": 1}])).first().record)
     assert list(record) == S.CATALOGUE.names
-    assert record["im_sku"] is None and record["created_at"] == "2024-01-01T00:00:00"
+    assert record["im_sku"] is None and record["created_at"] == "2024-01-01T00:00:00Z"
 
 
 def test_lookup_by_id(spark):
@@ -86,6 +86,27 @@ def test_snapshots_are_all_or_nothing(spark, tmp_path):
     assert T.commit(spark, root, {"a": T.read_table(spark, root, "a").union(two), "b": two}) == 2
     assert T.read_table(spark, root, "a").count() == 3
     assert T.read_table(spark, root, "a", version=1).count() == 1
+    assert T.commit(spark, root, {"b": one}) == 3
+    assert T.read_table(spark, root, "a").count() == 3
+    assert T.read_table(spark, root, "b").count() == 1
+    with pytest.raises(LookupError):
+        T.read_table(spark, root, "c")
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Context:
+        master, applicationId = "yarn", "app"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    Context.master = "local[2]"
+    assert shared_dir(Session) == shared_dir(Session)
 
 
 def test_stage_tables_live_in_the_shared_folder(spark):
