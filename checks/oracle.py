@@ -293,6 +293,11 @@ CTES = {
           order by s.id limit 1) r on true""",
     "filled_rows": f"""select {', '.join(CATALOGUE)} from catalogue where id not in (select id from objects)
         union all select {', '.join(CATALOGUE)} from filled""",
+    "messages": """select edit_seq, id, asin, n as updated_count,
+        n || ' (' || trim(coalesce(im_sku, '')) || case when n > 1
+          then ') skus have been updated for ASIN (' || asin || '). Refresh your screen to see the changes.'
+          else ') sku has been updated for ASIN (' || asin || ').' end as message
+        from (select v.*, (select count(*) from set_rows s where s.asin = v.asin) as n from valid v)""",
     "keyed_im": _keyed("lower(trim(im_sku))", "case when parent_sku <> '' then trim(parent_sku) end"),
     "keyed_im_exact": _keyed("trim(im_sku)", "case when parent_sku <> '' then trim(parent_sku) end"),
     "keyed_asin": _keyed("asin", "im_sku"),
@@ -442,11 +447,11 @@ BODIES = {
     "edit_propagate_asin": f"select {_spread_columns('im_sku', True)} from set_rows t left join keyed_asin k on k.key = t.asin",
     "edit_stage": f"select {', '.join(STAGING)} from restaged",
     "edit_rejects": "select edit_seq, id, reason from checked where reason is not null",
-    "edit_summary": """select edit_seq, id, asin, n as updated_count,
-        n || ' (' || trim(coalesce(im_sku, '')) || case when n > 1
-          then ') skus have been updated for ASIN (' || asin || '). Refresh your screen to see the changes.'
-          else ') sku has been updated for ASIN (' || asin || ').' end as message
-        from (select v.*, (select count(*) from set_rows s where s.asin = v.asin) as n from valid v)""",
+    "edit_summary": "select * from messages",
+    "edit_responses": f"""select e.id, e.marketplace_sku, e.asin, e.im_sku, e.parent_sku, e.region, e.sales_channel,
+        e.level_1, e.linworks_title, e.comment, e.comment_by_finance, {', '.join(f'e.{c}' for c in ATTR)},
+        o.created, m.message
+        from edited e join objects o on o.id = e.id join messages m on m.edit_seq = o.edit_seq""",
     "edits_applied": f"select {_C} from edited",
 }
 

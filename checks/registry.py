@@ -247,7 +247,7 @@ def csv_conform(spark, d):
 @query
 def dump(spark, d):
     csv = S.read_catalogue_csv(spark, _catalogue_csv(spark, d))
-    return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now())
+    return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now()).catalogue
 
 
 # Exploration.
@@ -419,3 +419,9 @@ def edit_summary(spark, d):
 @query
 def edits_applied(spark, d):
     return _edited(spark, d).catalogue
+
+
+@query
+def edit_responses(spark, d):
+    done = _edited(spark, d)
+    return E.edit_responses(done.catalogue, done.objects, done.summary)

@@ -283,19 +283,36 @@ def edit_summary(catalogue: DataFrame, valid: DataFrame) -> DataFrame:
     )
 
 
+def edit_responses(
+    catalogue: DataFrame, objects: DataFrame, summary: DataFrame
+) -> DataFrame:
+    """What each edited id's last edit is answered with: its row as it is now, whether it
+    was created, and the message (S4).
+
+    ``catalogue`` is the stored new version, so that it is not computed again.
+    """
+    said = objects.select("id", "edit_seq", "created").join(
+        summary.select("edit_seq", "message"), "edit_seq"
+    )
+    return catalogue.join(said.drop("edit_seq"), "id").select(
+        "id", *_SET_BY_EDIT, *ATTRIBUTIONS, "created", "message"
+    )
+
+
 class Edited(NamedTuple):
     catalogue: DataFrame
     staging: DataFrame
     hierarchy: DataFrame
     summary: DataFrame
     rejects: DataFrame
+    objects: DataFrame  # the edited rows before anything spreads
 
 
 def apply_edits(
     catalogue: DataFrame, staging: DataFrame, hierarchy: DataFrame, edits: DataFrame,
     now: Column | None = None,
 ) -> Edited:
-    """New versions of the three tables, a line per edit, and the rejected edits."""
+    """New versions of the three tables, a line per edit, rejects, and the edited rows."""
     now = utc_now() if now is None else now
     checked = stage(check_edits(edits, staging), "checked-edits")
     valid = checked.where(F.col("reason").isNull()).select(*EDITS.names)
@@ -309,4 +326,5 @@ def apply_edits(
         hierarchy=propagate_parent(hierarchy, valid, exact=True),
         summary=edit_summary(set_rows, valid),
         rejects=checked.where(F.col("reason").isNotNull()),
+        objects=filled,
     )

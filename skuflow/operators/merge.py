@@ -63,7 +63,8 @@ def merge_candidates(mapped: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def _has_key() -> Column:
+def has_full_key() -> Column:
+    """Whether a row has the values the catalogue requires."""
     out = F.lit(True)
     for k in FULL_KEY:
         out = out & F.col(k).isNotNull()
@@ -76,8 +77,8 @@ def merge_summary(candidates: DataFrame) -> DataFrame:
     blank = is_blank(F.col("level_1_before"))
     return candidates.agg(
         F.count_if(found).alias("update_count"),
-        F.count_if(~found & _has_key()).alias("create_count"),
-        F.count_if(~_has_key()).alias("reject_count"),
+        F.count_if(~found & has_full_key()).alias("create_count"),
+        F.count_if(~has_full_key()).alias("reject_count"),
         F.count_if(found & blank).alias("level_1_null_before"),
         F.count_if(found & ~blank).alias("level_1_not_null_before"),
     )
@@ -98,10 +99,10 @@ def merge_catalogue(
     rest = candidates.where(F.col("id").isNull()).select(*RECORD)
     updated = bulk_update(catalogue, updates, "id", MAPPED_VALUES)
     merged = append_rows(
-        updated.select(*CATALOGUE.names), rest.where(_has_key()), FULL_KEY, now,
+        updated.select(*CATALOGUE.names), rest.where(has_full_key()), FULL_KEY, now,
         next_id_after(catalogue),
     )
-    return Merge(merged, merge_summary(candidates), rest.where(~_has_key()))
+    return Merge(merged, merge_summary(candidates), rest.where(~has_full_key()))
 
 
 def stamp_catalogue_from_feed(
@@ -138,7 +139,7 @@ def stamp_catalogue_from_feed(
             "sales_channel", datetime_text(F.col("date")).alias("date"),
             F.col("title").alias("amazon_title"),
         )
-        .where(_has_key())
+        .where(has_full_key())
     )
     order = [*FULL_KEY, "sales_channel"]
     return append_rows(stamped, missing, order, now, next_id_after(catalogue))

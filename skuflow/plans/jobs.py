@@ -13,7 +13,7 @@ from skuflow.operators.mapping import (
     override_exact_and_alternate,
 )
 from skuflow.operators.merge import (
-    Merge, append_rows, merge_catalogue, stamp_catalogue_from_feed,
+    Merge, append_rows, has_full_key, merge_catalogue, stamp_catalogue_from_feed,
 )
 from skuflow.schemas import FULL_KEY
 from skuflow.session import stage
@@ -39,13 +39,21 @@ def new_mapping(
     return merge_catalogue(catalogue, map_feed(feed, catalogue), now)
 
 
+class Dump(NamedTuple):
+    catalogue: DataFrame
+    rejects: DataFrame  # CSV rows without a full key
+
+
 def dump(
     catalogue: DataFrame, csv_rows: DataFrame, feed: DataFrame, now: Column | None = None
-) -> DataFrame:
+) -> Dump:
     """Append catalogue CSV rows, then stamp the feed's latest date and title."""
     order = [*FULL_KEY, *[c for c in csv_rows.columns if c not in FULL_KEY]]
-    loaded = append_rows(catalogue, csv_rows, order, now)
-    return stamp_catalogue_from_feed(loaded, feed_latest(feed))
+    loaded = append_rows(catalogue, csv_rows.where(has_full_key()), order, now)
+    return Dump(
+        stamp_catalogue_from_feed(loaded, feed_latest(feed)),
+        csv_rows.where(~has_full_key()),
+    )
 
 
 class Dashboard(NamedTuple):
@@ -57,5 +65,3 @@ def dashboard(catalogue: DataFrame) -> Dashboard:
     """All rows as JSON records, and the quality metrics."""
     return Dashboard(dashboard_rows(catalogue), quality_metrics(catalogue))
 
-
-__all__ = ["map_feed", "new_mapping", "dump", "dashboard", "Dashboard"]

@@ -12,6 +12,7 @@ from skuflow.session import stage_scope
 from skuflow.sources.tables import commit, committed, read_table
 
 TABLES = ["catalogue", "staging", "hierarchy"]
+REPORTS = ["summary", "rejects"]
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -35,8 +36,8 @@ def stream_edits(
             return
         with stage_scope(spark):
             tables = [read_table(spark, root, t) for t in TABLES]
-            result = apply_edits(*tables, batch)
-            commit(spark, root, result._asdict(), txn)
+            result = apply_edits(*tables, batch)._asdict()
+            commit(spark, root, {t: result[t] for t in TABLES + REPORTS}, txn)
 
     writer = edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -164,6 +164,11 @@ def test_batch_last_edit_wins_per_key(spark):
         (1, "X", "second", "scm", "fin"), (2, "X", "second", "scm", "fin"), (3, "Y", None, None, None),
     ]
     assert pick(got.staging, "id", "parent_sku") == [(1, "second"), (3, None)]
+    answers = E.edit_responses(got.catalogue, got.objects, got.summary)
+    assert pick(answers, "id", "im_sku", "created", "message") == [
+        (1, "X", False, "2 (X) skus have been updated for ASIN (A). Refresh your screen to see the changes."),
+        (3, "Y", False, "1 (Y) sku has been updated for ASIN (B)."),
+    ]
 
 
 def test_rows_gaining_an_im_sku_keep_their_parent(spark):

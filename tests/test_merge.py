@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from skuflow.operators import merge as G
 from skuflow.operators.joins import bulk_update
 from skuflow.operators.ordered import number_rows
-from skuflow.schemas import CATALOGUE
-from tests.helpers import NOW, OLD, catalogue, mapped, pick
+from skuflow.plans.jobs import dump
+from skuflow.schemas import CATALOGUE, FEED
+from tests.helpers import NOW, OLD, catalogue, frame, mapped, pick
 
 
 def _now():
@@ -81,3 +82,19 @@ def test_stamp_ignores_case_and_writes_nulls(spark):
     assert pick(stamped, "id", "date", "amazon_title") == expected
     more = G.stamp_catalogue_from_feed(cat, sellers, insert_missing=True, now=_now())
     assert pick(more, "id", "date", "amazon_title") == expected + [(5, "2024-02-03 00:00:00", "n")]
+
+
+def test_dump_rejects_rows_without_a_key(spark):
+    rows = spark.createDataFrame(
+        [("S9", "A", "DE", "l"), (None, "A", "DE", "lost")],
+        "marketplace_sku string, asin string, region string, level_1 string",
+    )
+    feed = frame(spark, FEED, [{
+        "seller_sku": "s9", "asin": "A", "region": "DE", "sales_channel": "x",
+        "order_status": "Shipped", "title": "t",
+    }])
+    done = dump(catalogue(spark, [{"id": 3}]), rows, feed, _now())
+    assert pick(done.catalogue, "id", "marketplace_sku", "level_1", "created_at") == [
+        (3, "S", None, OLD), (4, "S9", "l", NOW),
+    ]
+    assert pick(done.rejects, "level_1") == [("lost",)]
