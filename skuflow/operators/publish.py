@@ -21,15 +21,16 @@ _VALUES = [c for c in HIERARCHY.names if c not in SKU_REGION]
 _MAX_LENGTH = 255
 
 
-def staging_last(staging: DataFrame) -> DataFrame:
+def staging_last(staging: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per (SKU, region) the last non-null value of each column, and the row count.
 
-    Rows without a key form no group; they stay staged.
+    ``columns`` limits the result to what a caller needs. Rows without a key form no
+    group; they stay staged.
     """
     keyed = staging.where(
         F.col("marketplace_sku").isNotNull() & F.col("region").isNotNull()
     )
-    columns = [c for c in STAGING.names if c not in SKU_REGION]
+    columns = columns or [c for c in STAGING.names if c not in SKU_REGION]
     last = [
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in columns
     ]
@@ -141,7 +142,7 @@ def publish(
     staging: DataFrame, hierarchy: DataFrame, max_length: int = _MAX_LENGTH
 ) -> Published:
     """Publish everything staged (M9)."""
-    staged = stage(with_action(staging_last(staging), max_length), "staged")
+    staged = stage(with_action(staging_last(staging, _VALUES), max_length), "staged")
     upserts = resolve_parents(staged).where(F.col("action") == "upsert")
     kept = propagate_parent_on_publish(unmap(hierarchy, staged), staged)
     return Published(
