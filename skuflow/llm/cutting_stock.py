@@ -12,7 +12,7 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, copies), ...), ti
 
 #: Stop when the plan is proven to be within this share of the linear optimum.
 GAP = 0.001
-MAX_COLUMNS = 6000
+MAX_COLUMNS = 4000
 _REFRESH = 250
 
 
@@ -40,19 +40,33 @@ def _knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), copies
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchange: small matrices need no threads of a BLAS."""
+    m = len(matrix)
+    work = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factors = work[:, k].copy()
+        factors[k] = 0
+        work -= np.outer(factors, work[k])
+    return work[:, m:]
+
+
 def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int):
     """Columns and their amounts in the linear program's plan."""
     m = len(lengths)
     columns = np.diag((capacity // lengths).astype(float))
     inverse = np.diag(1 / np.diag(columns))
-    amounts = inverse @ demand
+    amounts = (inverse * demand).sum(axis=1)
     for step in range(MAX_COLUMNS):
         prices = np.maximum(inverse.sum(axis=0), 0)
         value, column = _knapsack(prices, lengths, capacity)
         # prices / value is feasible for the dual, so amounts.sum() / value bounds the plan
         if value <= 1 + GAP:
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         usable = direction > 1e-9
         ratio = np.where(usable, amounts / np.where(usable, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -63,8 +77,8 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int):
         inverse -= np.outer(direction, row)
         inverse[out] = row
         if step % _REFRESH == _REFRESH - 1:
-            inverse = np.linalg.inv(columns)
-        amounts = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(columns)
+        amounts = np.maximum((inverse * demand).sum(axis=1), 0)
     assert columns.shape == (m, m)
     return columns, amounts
 

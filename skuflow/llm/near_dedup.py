@@ -23,10 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skuflow.llm.base import documents, texts, word_list
+from skuflow.llm.base import documents, texts, whole_text, word_list
 from skuflow.llm.components import components
 from skuflow.llm.simhash_bits import fingerprint, hex16, vote_sums
 from skuflow.session import stage
@@ -46,13 +46,14 @@ def lower_ascii(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and the fingerprint of each whole text, as a signed 64-bit number.
+    """``doc_id``, a hash ``h`` of the text and the fingerprint of each whole text, as
+    signed 64-bit numbers.
 
     A text's shingles are hashed and added up in the task that read it; what is shuffled is
     one row of sums for each text.
     """
     words = texts(docs).select(
-        "doc_id", F.monotonically_increasing_id().alias("_row"),
+        "doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("_row"),
         word_list(lower_ascii(F.col("text"))).alias("words"),
     )
     w = F.col("words")
@@ -65,14 +66,14 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             lambda i: F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(width)]),
         )
     )
-    hashes = words.select("doc_id", "_row", F.explode_outer(shingles).alias("s")).select(
-        "doc_id", "_row",
-        F.when(F.col("s").isNotNull(), F.xxhash64("s")).otherwise(F.lit(0)).alias("h"),
-        F.when(F.col("s").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("w"),
+    hashes = words.select("doc_id", "h", "_row", F.explode_outer(shingles).alias("s")).select(
+        "doc_id", "h", "_row",
+        F.when(F.col("s").isNotNull(), F.xxhash64("s")).otherwise(F.lit(0)).alias("_h"),
+        F.when(F.col("s").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("_w"),
     )
     return (
-        hashes.groupBy("_row", "doc_id").agg(*vote_sums("h", "w"), F.sum("w").alias("_total"))
-        .select("doc_id", fingerprint("_total").alias("fp"))
+        hashes.groupBy("_row", "doc_id", "h").agg(*vote_sums("_h", "_w"), F.sum("_w").alias("_total"))
+        .select("doc_id", "h", fingerprint("_total").alias("fp"))
     )
 
 
@@ -242,16 +243,34 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS
 ) -> DataFrame:
-    """Each document with its fingerprint and the smallest ``doc_id`` that links reach."""
+    """Each document's ``doc_id``, text hash ``h``, fingerprint ``fp``, the smallest ``doc_id``
+    that links reach (``component_id``), and whether its (``doc_id``, ``h``) is the group's
+    first (``first``)."""
     prints = stage(fingerprints(docs, width), "fingerprints")
-    members = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    members = stage(prints.groupBy("fp").agg(F.min(order).alias("low")), "distinct-prints")
     roots = components(stage(links(members.select("fp"), bits), "links"))
     rooted = members.join(roots, members["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    by_print = rooted.drop("low").join(lowest, "root").select("fp", "low")
+    return prints.join(by_print, "fp").select(
+        "doc_id", "h", "fp", F.col("low.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("h") == F.col("low.h"))).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """Documents without near duplicates: of each group the one with the smallest id, once."""
+    first = near_duplicates(docs, width, bits).where("first").select(
+        F.col("doc_id").alias("_id"), F.col("h").alias("_h")
+    ).distinct()
+    text = whole_text(docs)
+    rows = docs.select(F.struct("*").alias("_doc"), docs["doc_id"].cast("long").alias("_d"), F.xxhash64(text).alias("_t"))
+    kept = rows.join(first, rows["_d"].eqNullSafe(first["_id"]) & (rows["_t"] == first["_h"]))
+    once = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_t"))
+    return kept.withColumn("_n", once).where("_n = 1").select("_doc.*")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

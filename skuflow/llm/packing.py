@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from skuflow.llm.vocabularies import unit_encoder, vocabulary_path
 from skuflow.session import stage
 
 CAPACITY = 1024
+#: Tokens of a length class.
+GRAIN = 8
 END_ID = 0
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -71,57 +73,66 @@ def token_pieces(
 
 
 _LAYOUT = T.StructType([
-    T.StructField("piece_length", T.LongType()), T.StructField("lo", T.LongType()),
+    T.StructField("klass", T.LongType()), T.StructField("lo", T.LongType()),
     T.StructField("hi", T.LongType()), T.StructField("copies", T.LongType()),
-    T.StructField("first_sequence", T.LongType()), T.StructField("first_offset", T.LongType()),
+    T.StructField("first_sequence", T.LongType()), T.StructField("place", T.LongType()),
 ])
 
 
-def layout(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Which ranks of each length go where: rows of ``_LAYOUT``.
+def layout(histogram: dict[int, int], room: int) -> list[tuple[int, ...]]:
+    """Which ranks of each length class go to which sequences: rows of ``_LAYOUT``.
 
-    Full pieces are sequences of their own, numbered first.
+    Classes and ``room`` are in grains. Full pieces are sequences of their own, first.
     """
-    full = histogram.get(capacity, 0)
-    rows = [(capacity, 0, full, 1, 0, 0)] if full else []
+    full = histogram.get(room, 0)
+    rows = [(room, 0, full, 1, 0, 0)] if full else []
     sequence = full
     rank: dict[int, int] = {}
-    for pattern, times in patterns({k: n for k, n in histogram.items() if k != capacity}, capacity):
-        offset = 0
-        for length, copies in pattern:
-            lo = rank.get(length, 0)
-            rank[length] = lo + copies * times
-            rows.append((length, lo, rank[length], copies, sequence, offset))
-            offset += length * copies
+    for pattern, times in patterns({k: n for k, n in histogram.items() if k != room}, room):
+        for place, (klass, copies) in enumerate(pattern):
+            lo = rank.get(klass, 0)
+            rank[klass] = lo + copies * times
+            rows.append((klass, lo, rank[klass], copies, sequence, place))
         sequence += times
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id``, ``start``, ``length``.
 
-    Pieces of one length are ranked by (doc_id, start); a length's ranks are dealt to the
-    patterns that use it. The layout has a row for each length of each pattern: at most as
-    many patterns as lengths and bins left over, so it is safe to broadcast.
+    The histogram counts lengths in classes of ``grain`` tokens, rounded up: the linear
+    program has ``capacity / grain`` rows and costs under ``grain`` tokens of padding for
+    each piece. Pieces of a class are ranked by (doc_id, start) and a class's ranks are
+    dealt to the patterns that use it. Offsets add up true lengths, so there are no gaps; a
+    sequence has at most ``capacity`` pieces. The layout has a row for each class of each
+    pattern, and there are at most as many patterns as classes and bins left over from
+    rounding, so it is safe to broadcast.
     """
     spark = pieces.sparkSession
-    counted = pieces.groupBy("length").count().collect()  # at most `capacity` rows
-    rows = layout({r["length"]: r["count"] for r in counted}, capacity)
+    classed = pieces.withColumns({
+        "_class": F.ceil(F.col("length") / grain).cast("long"), "_one": F.lit(1)
+    })
+    counted = classed.groupBy("_class").count().collect()  # at most capacity / grain rows
+    rows = layout({r["_class"]: r["count"] for r in counted}, capacity // grain)
     table = F.broadcast(spark.createDataFrame(rows, _LAYOUT))
-    order = ["doc_id", "start", *[c for c in pieces.columns if c not in ("doc_id", "start", "length", "ids")]]
+    rest = [c for c in pieces.columns if c not in ("doc_id", "start", "ids")]
     ranked = running_start(
-        pieces.withColumn("_one", F.lit(1)), ["length"], order, {"_rank": "_one"}, "ranked-pieces"
+        classed, ["_class"], ["doc_id", "start", *rest], {"_rank": "_one"}, "ranked-pieces"
     )
     on = (
-        (F.col("length") == F.col("piece_length"))
+        (F.col("_class") == F.col("klass"))
         & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
     )
     nth = F.col("_rank") - F.col("lo")
-    return ranked.join(table, on).select(
-        *pieces.columns,
+    placed = ranked.join(table, on).select(
+        *pieces.columns, "place", nth.alias("_nth"),
         (F.col("first_sequence") + F.floor(nth / F.col("copies"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + (nth % F.col("copies")) * F.col("length")).cast("long").alias("offset"),
     )
+    before = Window.partitionBy("sequence_id").orderBy("place", "_nth").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
+    return placed.withColumn("offset", offset).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
