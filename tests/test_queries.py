@@ -6,13 +6,16 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare
+from checks.oracle import oracle_sql
+from checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+ORACLE = oracle_sql()
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
