@@ -192,13 +192,12 @@ def judged(features: DataFrame, known: dict[str, tuple[list[float], list[float]]
 def passing(docs: DataFrame) -> DataFrame:
     """Documents that are kept, with their columns.
 
-    Histograms are computed once for the references and once for the decision, which costs
-    less than joining decisions to texts.
+    Rows are staged with their counts: the references read the counts alone, and the
+    decision needs no join of counts and texts.
     """
-    known = references(measured(docs, ["lang"]))
-    marked = docs.select(F.struct("*").alias("_doc"), docs["text"].alias("text"))
-    kept = judged(measured(marked, ["_doc"]), known).where("kept")
-    return kept.select("_doc.*")
+    marked = docs.select(F.struct("*").alias("_doc"), docs["text"], docs["lang"])
+    features = stage(measured(marked, ["_doc", "lang"]), "quality-features")
+    return judged(features, references(features)).where("kept").select("_doc.*")
 
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
