@@ -81,6 +81,16 @@ class Codes:
         last = bits[np.minimum(byte, len(bits) - 1)] & ((1 << (at % 8)) - 1).astype(np.uint8)
         return counts + np.where(byte < len(bits), np.bitwise_count(last), 0)
 
+    def _rank_at(self, level: int, at: int) -> int:
+        """Ones of the bitmap before one position."""
+        block, byte = at // BLOCK_BITS, at // 8
+        bits, ranks = self.bitmaps[level], self.ranks[level]
+        if block >= len(ranks):  # behind the last block
+            block -= 1
+        first = block * (BLOCK_BITS // 8)
+        count = int(ranks[block]) + int(np.bitwise_count(bits[first:byte]).sum(dtype=np.int64))
+        return count + (int(bits[byte]) & ((1 << at % 8) - 1)).bit_count() if at % 8 else count
+
     def access(self, positions: np.ndarray) -> np.ndarray:
         """The ids at any positions."""
         at = np.asarray(positions, np.int64)
@@ -103,7 +113,7 @@ class Codes:
             on = np.flatnonzero(bits[start - 8 * byte:end - 8 * byte])
             if not len(on):
                 break
-            start = int(self._rank(level, np.array([start]))[0])
+            start = self._rank_at(level, start)
             end = start + len(on)
             index = on if index is None else index[on]
             chunk = self.chunks[level + 1][start:end].astype(np.uint32)
