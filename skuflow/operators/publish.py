@@ -7,6 +7,7 @@ keeps its own parent exactly when no later row of its internal SKU has one.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from skuflow.schemas import HIERARCHY, SKU_REGION, STAGING
 from skuflow.session import stage
 
 _VALUES = [c for c in HIERARCHY.names if c not in SKU_REGION]
-_MAX_LENGTH = 255
+_Widths = Mapping[str, int]  # column: longest value
 
 
 def staging_last(staging: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -37,15 +38,15 @@ def staging_last(staging: DataFrame, columns: list[str] | None = None) -> DataFr
     return keyed.groupBy(*SKU_REGION).agg(*last, F.count("*").alias("n_rows"))
 
 
-def with_action(last: DataFrame, max_length: int = _MAX_LENGTH) -> DataFrame:
+def with_action(last: DataFrame, widths: _Widths | None = None) -> DataFrame:
     """Add ``action``: skip, unmap, fail or upsert.
 
-    ``fail`` are rows with a value longer than the hierarchy's text columns.
+    ``fail`` are rows with a value longer than ``widths`` allows for its column: the widths
+    of the caller's own target table. Without them any length is published.
     """
     too_long = F.lit(False)
-    for c in HIERARCHY.names:
-        if c != "linworks_title":
-            too_long = too_long | F.coalesce(F.length(c) > max_length, F.lit(False))
+    for c, width in (widths or {}).items():
+        too_long = too_long | F.coalesce(F.length(c) > width, F.lit(False))
     missing = (
         is_blank(F.col("marketplace_sku")) | is_blank(F.col("region"))
         | is_blank(F.col("asin"))
@@ -139,10 +140,10 @@ class Published(NamedTuple):
 
 
 def publish(
-    staging: DataFrame, hierarchy: DataFrame, max_length: int = _MAX_LENGTH
+    staging: DataFrame, hierarchy: DataFrame, widths: _Widths | None = None
 ) -> Published:
     """Publish everything staged (M9)."""
-    staged = stage(with_action(staging_last(staging, _VALUES), max_length), "staged")
+    staged = stage(with_action(staging_last(staging, _VALUES), widths), "staged")
     upserts = resolve_parents(staged).where(F.col("action") == "upsert")
     kept = propagate_parent_on_publish(unmap(hierarchy, staged), staged)
     return Published(

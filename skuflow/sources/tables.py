@@ -105,9 +105,12 @@ def dashboard_rows(df: DataFrame) -> DataFrame:
 
 
 def lookup_by_id(df: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
-    """Rows of the given ids; many ids come as a DataFrame."""
+    """Rows of the given ids; many ids come as a DataFrame.
+
+    Repeated ids are dropped before the join: the right side of a semi join is not split.
+    """
     if isinstance(ids, DataFrame):
-        return df.join(ids.select("id"), "id", "left_semi")
+        return df.join(ids.select("id").distinct(), "id", "left_semi")
     return df.where(F.col("id").isin(ids))
 
 

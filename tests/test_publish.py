@@ -112,7 +112,7 @@ def test_actions_and_summary(spark):
         {"marketplace_sku": "E", "region": "DE", "im_sku": "old"},
         {"marketplace_sku": "U", "region": "DE", "im_sku": "old"},
     ])
-    result = P.publish(df, held)
+    result = P.publish(df, held, {"im_sku": 255})
     assert pick(result.actions, "marketplace_sku", "action", "exists", "n_rows") == [
         (" ", "skip", False, 1), ("E", "upsert", True, 1), ("L", "fail", False, 1),
         ("N", "upsert", False, 1), ("U", "unmap", True, 1),
@@ -120,3 +120,11 @@ def test_actions_and_summary(spark):
     assert pick(result.summary, *result.summary.columns) == [(3, 1, 1)]
     assert sorted(r.id for r in result.staging.collect()) == [1, 5]
     assert pick(result.hierarchy, "marketplace_sku", "im_sku") == [("E", "I"), ("N", "I")]
+
+
+def test_any_length_is_published_without_widths(spark):
+    df = staging(spark, [{"id": 1, "marketplace_sku": "L", "im_sku": "I" * 300, "level_1": "x" * 256}])
+    result = P.publish(df, hierarchy(spark, []))
+    assert pick(result.actions, "action") == [("upsert",)]
+    assert pick(result.hierarchy, "im_sku", "level_1") == [("I" * 300, "x" * 256)]
+    assert result.staging.count() == 0
