@@ -1,14 +1,15 @@
 """Operator 1: toxicity by compression distance.
 
 Two zstandard dictionaries are trained. The ordinary one holds what ordinary windows of
-text share. The toxic one holds the same after a head of passages that set toxic training
-documents apart: words and word beginnings with a high likelihood ratio. Every whole text
-is cut into windows of words; each window is compressed with both, and the toxic dictionary
-saves bytes exactly where toxic passages stand. A document's saving, less what ordinary
-windows of that number save by chance, is turned into a probability by thresholds
-calibrated on training documents.
-
-Defined results: a null or empty text has one empty window and saves nothing; rows that
+text share, and then those ordinary windows that resemble toxic passages by chance. The
+toxic one holds the same before a list of passages that set toxic training documents apart:
+words and word beginnings with a high likelihood ratio. Every whole text is cut into windows
+of words; each window is compressed with both, and the toxic dictionary saves bytes where
+toxic passages stand. Each number of saved bytes has a weight, the log ratio of how often
+windows of toxic and of ordinary documents save so much; a document's sum of weights is
+turned into a probability by thresholds calibrated on training documents.
+
+Defined results: a null or empty text has one empty window, which saves nothing; rows that
 share a ``doc_id`` are scored each; labels that are null, or of unknown documents, teach
 nothing; without labels of both classes every score is the share of toxic labels, or 0;
 other columns are ignored.
@@ -17,6 +18,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,15 +44,24 @@ WINDOW_BYTES = 1024
 #: Passages need this share of the best passage's likelihood ratio.
 PASSAGE_SHARE, MAX_PASSAGES = 0.1, 200
 PREFIXES = (4, 5, 6, 7, 8)
+#: A passage counts by whether it stands in a text once, twice and so on up to this often.
+OFTEN = 3
+#: Rounds in which ordinary windows that save bytes join the ordinary dictionary, the bytes
+#: that a round may add, and the saving from which a window does.
+ROUNDS, ROUND_BYTES, CONFUSED = 2, 12_000, 2
 LEVEL = 7
-_SCORE_CAP = 24
+#: Savings over this count as this.
+MOST_SAVED = 12
+#: Sums of weights from -_LOWEST on have bins of one, _SCORE_CAP in all.
+_LOWEST, _SCORE_CAP = 8, 24
+_GAPS = re.compile(r"[\s!-/:-@\[-`{-~]+")  # white space and ASCII punctuation
 
 
 @dataclass
 class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
-    chance: float = 0.0  # bytes that an ordinary window saves
+    weights: list[float] = field(default_factory=lambda: [0.0] * (MOST_SAVED + 1))
     table: list[float] = field(default_factory=lambda: [0.0] * (_SCORE_CAP + 1))
     passages: list[str] = field(default_factory=list)
 
@@ -70,7 +82,10 @@ _IS_SPACE[[0x20, *range(9, 14)]] = True
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start and end of each window; every text has one at least."""
+    """Text number, start and end of each window; every text has one at least.
+
+    A window begins with the character before its first word, if there is one.
+    """
     word = ~_IS_SPACE[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
@@ -90,6 +105,7 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end = np.append(start[1:], 0)
     last = np.append(text[1:] != text[:-1], True)
     end[last] = offsets[text[last] + 1]
+    start = np.where(start > offsets[text], start - 1, start)
     pieces = np.maximum(1, -(-(end - start) // WINDOW_BYTES))
     if (pieces > 1).any():
         k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -111,29 +127,34 @@ class Scorer:
         )
         return np.fromiter(map(len, out), np.int64, len(out))
 
-    def savings(self, lowered: pa.Array) -> np.ndarray:
-        """Bytes that each text's windows save beyond chance."""
-        data, offsets = buffers(lowered)
-        if not self.model.toxic or not len(lowered):
-            return np.zeros(len(lowered))
-        text, start, end = windows(data, offsets)
+    def saved(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window, 0 to ``MOST_SAVED``."""
+        saved = np.zeros(len(start), np.int64)
         filled = end > start  # zstandard takes no empty input; an empty window saves nothing
-        gain = np.zeros(len(text))
-        if filled.any():
+        if self.model.toxic and filled.any():
             segments = np.stack([start[filled], (end - start)[filled]], 1).astype("<u8").tobytes()
             raw = data.tobytes()
-            saved = self._sizes(self._ordinary, raw, segments) - self._sizes(
+            saved[filled] = self._sizes(self._ordinary, raw, segments) - self._sizes(
                 self._toxic, raw, segments
             )
-            gain[filled] = np.maximum(saved - 1, 0)
-        total = np.bincount(text, gain, len(lowered))
-        count = np.bincount(text, minlength=len(lowered))
-        return np.maximum(total - 3 * self.model.chance * count, 0)
+        return np.clip(saved, 0, MOST_SAVED)
+
+    def histograms(self, lowered: pa.Array) -> np.ndarray:
+        """For each text its number of windows by saved bytes."""
+        data, offsets = buffers(lowered)
+        text, start, end = windows(data, offsets)
+        at = text * (MOST_SAVED + 1) + self.saved(data, start, end)
+        return np.bincount(at, minlength=len(lowered) * (MOST_SAVED + 1)).reshape(len(lowered), -1)
 
     def scores(self, lowered: pa.Array) -> np.ndarray:
-        x = np.minimum(self.savings(lowered), _SCORE_CAP)
-        table = np.array(self.model.table)
-        return np.interp(x, np.arange(_SCORE_CAP + 1), table)
+        if not len(lowered):
+            return np.zeros(0)
+        x = _bins(self.histograms(lowered) @ np.array(self.model.weights))
+        return np.interp(x, np.arange(_SCORE_CAP + 1), np.array(self.model.table))
+
+
+def _bins(sums: np.ndarray) -> np.ndarray:
+    return np.clip(sums + _LOWEST, 0, _SCORE_CAP)
 
 
 def _lower(texts: pa.Array) -> pa.Array:
@@ -174,16 +195,37 @@ def _sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return texts(docs).join(picked, "doc_id")
 
 
+def _variants(text: str) -> Counter:
+    """How often each word, with a space behind it, and each word beginning stands there."""
+    out: Counter = Counter()
+    for word, n in Counter(_GAPS.split(text)).items():
+        if len(word) >= PREFIXES[0]:
+            out[word + " "] += n
+            for k in PREFIXES:
+                if k <= len(word):
+                    out[word[:k]] += n
+    return out
+
+
 def _passages(sample: DataFrame, n_toxic: int, n_ordinary: int) -> list[str]:
     """Words and word beginnings that tell toxic documents apart, best first; of equals the
-    longest, which saves most."""
-    words = F.array_distinct(F.filter(
-        F.split(F.lower("text"), r"[\s\p{Punct}]+"), lambda w: F.char_length(w) >= PREFIXES[0]
-    ))
-    variants = F.flatten(F.transform(words, lambda w: F.filter(
-        F.array(F.concat(w, F.lit(" ")), *[F.left(w, F.lit(n)) for n in PREFIXES]),
-        lambda p: F.char_length(p) <= F.char_length(w) + 1,
-    )))
+    longest, which saves most. What counts is the best of standing there once, twice, ..."""
+
+    def count(batches):
+        for batch in batches:
+            held: tuple[Counter, Counter] = (Counter(), Counter())
+            lowered = _lower(batch.column("text")).to_pylist()
+            for toxic, text in zip(batch.column("toxic").to_pylist(), lowered, strict=True):
+                for passage, n in _variants(text).items():
+                    held[toxic].update((passage, m) for m in range(1, min(n, OFTEN) + 1))
+            found = list(held[0] | held[1])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p for p, _ in found], pa.string()),
+                pa.array([m for _, m in found], pa.int32()),
+                pa.array([held[1][key] for key in found], pa.int64()),
+                pa.array([held[0][key] for key in found], pa.int64()),
+            ], names=["passage", "m", "a", "b"])
+
     t, o = F.lit(float(n_toxic)), F.lit(float(n_ordinary))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
 
@@ -193,11 +235,12 @@ def _passages(sample: DataFrame, n_toxic: int, n_ordinary: int) -> list[str]:
         return term(count, expected) + term(total - count, total - expected)
 
     counted = (
-        sample.select("toxic", F.explode(F.array_distinct(variants)).alias("passage"))
-        .groupBy("passage").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+        sample.select("toxic", "text")
+        .mapInArrow(count, "passage string, m int, a long, b long")
+        .groupBy("passage", "m").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= 3) & (F.col("a") * n_ordinary > F.col("b") * n_toxic))
-        .withColumn("ratio", 2 * (part(a, t) + part(b, o)))
-        .orderBy(F.desc(F.round("ratio", 6)), F.desc(F.length("passage")), "passage").limit(20 * MAX_PASSAGES)
+        .groupBy("passage").agg(F.max(F.round(2 * (part(a, t) + part(b, o)), 6)).alias("ratio"))
+        .orderBy(F.desc("ratio"), F.desc(F.length("passage")), "passage").limit(20 * MAX_PASSAGES)
         .collect()
     )
     chosen: list[str] = []
@@ -210,6 +253,37 @@ def _passages(sample: DataFrame, n_toxic: int, n_ordinary: int) -> list[str]:
     return chosen
 
 
+def _dictionaries(train_on: list[bytes], passages: list[str]) -> Model:
+    """Both dictionaries. They are equally long and differ in the passages only, which stand
+    last, where references to them are shortest; the ordinary one has zero bytes there."""
+    try:
+        ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, train_on).as_bytes()
+    except zstandard.ZstdError:  # too few windows to find common parts in
+        ordinary = b" ".join(train_on)[-DICTIONARY_BYTES:]
+    if not passages:
+        return Model(ordinary)
+    tail = (" " + " ".join(p.rstrip() for p in reversed(passages)) + " ").encode()
+    data = np.frombuffer(b"".join(train_on), np.uint8)
+    end = np.cumsum([len(w) for w in train_on]).astype(np.int64)
+    start = end - np.array([len(w) for w in train_on], np.int64)
+
+    def model() -> Model:
+        return Model(ordinary + bytes(len(tail)), ordinary + tail, passages=passages)
+
+    for _ in range(ROUNDS if train_on else 0):
+        saved = Scorer(model()).saved(data, start, end)
+        confused: dict[bytes, None] = {}
+        size = 0
+        for k in np.argsort(-saved, kind="stable").tolist():
+            if saved[k] < CONFUSED or size > ROUND_BYTES:
+                break
+            if train_on[k] not in confused:
+                confused[train_on[k]] = None
+                size += len(train_on[k])
+        ordinary = b"".join(reversed(confused)) + ordinary
+    return model()
+
+
 def _training_windows(sample: DataFrame) -> list[bytes]:
     """Some windows of each ordinary document, from all over its text."""
 
@@ -265,32 +339,26 @@ def train(docs: DataFrame, marks: DataFrame) -> Model:
         share = n_toxic / (n_toxic + n_ordinary) if counts else 0.0
         return Model(table=[share] * (_SCORE_CAP + 1))
     passages = _passages(sample, n_toxic, n_ordinary)
-    train_on = _training_windows(sample)
-    try:
-        ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, train_on).as_bytes()
-    except zstandard.ZstdError:  # too few windows to find common parts in
-        ordinary = b" ".join(train_on)[-DICTIONARY_BYTES:]
-    head = " " + " ".join(p.rstrip() for p in reversed(passages)) + " "
-    model = Model(ordinary, head.encode() + ordinary, passages=passages)
-    if not passages:
-        model.toxic = b""
-    scorer = Scorer(model)
+    model = _dictionaries(_training_windows(sample), passages)
 
-    @F.arrow_udf("double")
-    def saving(values: pa.Array) -> pa.Array:
-        return _in_runs(values, Scorer(model).savings)
-
-    del scorer
-    rows = sample.select(
-        "toxic", saving("text").alias("x"), (F.char_length("text") > 0).alias("filled"),
-        F.greatest(F.lit(1), F.size(F.split("text", r"\s+"))).alias("words"),
-    ).collect()  # bounded by the sample
-    x = np.array([r["x"] for r in rows])
+    @F.arrow_udf("array<long>")
+    def histogram(values: pa.Array) -> pa.Array:
+        scorer, parts = Scorer(model), []
+        for i in range(0, len(values), 2000):
+            parts.extend(scorer.histograms(_lower(values.slice(i, 2000))).tolist())
+        return pa.array(parts, pa.list_(pa.int64()))
+
+    rows = sample.select("toxic", histogram("text").alias("h")).collect()  # bounded sample
+    by_saved = np.array([r["h"] for r in rows], float)
     y = np.array([r["toxic"] for r in rows], float)
-    n_windows = np.array([-(-r["words"] // WINDOW_WORDS) for r in rows])
     plain = y == 0
-    model.chance = float(x[plain].sum() / max(1, n_windows[plain].sum()))
-    x = np.maximum(x - 3 * model.chance * n_windows, 0)
+    often, seldom = (
+        (n + 0.5) / (n.sum() + 0.5 * len(n))
+        for n in (by_saved[~plain].sum(axis=0), by_saved[plain].sum(axis=0))
+    )
+    # Saving more never speaks for less.
+    model.weights = np.maximum.accumulate(np.log(often / seldom)).tolist()
+    x = _bins(by_saved @ np.array(model.weights))
     all_known = {
         r["toxic"]: r["count"] for r in
         marks.where(F.col("toxic").isNotNull() & (fold(FOLDS) != HELD_OUT))
