@@ -7,13 +7,14 @@ into blocks and permuted so that every choice of blocks leads a table once; near
 fingerprints agree on the leading blocks of at least one table.
 
 Defined results: a null text is empty and has fingerprint zero; rows that share a
-``doc_id`` are ordered by a hash of their texts, equal rows follow each other; in an only
+``doc_id`` are ordered by a hash of their texts, equal rows follow each other; of an only
 row the next document is itself; null ids come last in descending order; an empty table
 gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from skuflow.llm.base import documents, whole_text, word_list
 from skuflow.llm.simhash_bits import BITS, fingerprint, hex16, vote_sums
-from skuflow.operators.ordered import SLICE, stage_by_range
 from skuflow.session import stage
 
 #: Radius of the search, and blocks that the bits are cut into: pairs within the radius
 #: agree on all blocks but three.
 RADIUS, BLOCKS = 3, 6
 QUERY_EVERY = 50
+#: Slices of the document order for each shuffle partition, so that partitions, which get
+#: slices by hash, hold about equally many.
+SLICES_EACH = 4
 
 
 def _terms(words: Column) -> Column:
@@ -42,18 +45,17 @@ def _terms(words: Column) -> Column:
 
 
 def simhash(df: DataFrame, text: str, keep: list[str], column: str = "fp") -> DataFrame:
-    """``keep`` columns and the fingerprint of each row's text.
+    """``keep`` columns, which tell rows apart, and the fingerprint of each row's text.
 
-    A row's votes are added up in its own task; one row of sums for each text is shuffled.
+    If ``df`` is already dealt out by some of ``keep``, nothing is shuffled; otherwise one
+    row of sums for each text is.
     """
-    rows = df.select(
-        *keep, F.monotonically_increasing_id().alias("_row"), word_list(F.col(text)).alias("_w")
-    )
-    votes = rows.select(*keep, "_row", F.explode_outer(_terms(F.col("_w"))).alias("_t")).select(
-        *keep, "_row", F.coalesce(F.xxhash64("_t"), F.lit(0)).alias("_h"),
+    rows = df.select(*keep, word_list(F.col(text)).alias("_w"))
+    votes = rows.select(*keep, F.explode_outer(_terms(F.col("_w"))).alias("_t")).select(
+        *keep, F.coalesce(F.xxhash64("_t"), F.lit(0)).alias("_h"),
         F.coalesce(F.char_length("_t"), F.lit(0)).cast("long").alias("_weight"),
     )
-    summed = votes.groupBy("_row", *keep).agg(
+    summed = votes.groupBy(*keep).agg(
         *vote_sums("_h", "_weight"), F.sum("_weight").alias("_total")
     )
     return summed.select(*keep, fingerprint("_total").alias(column))
@@ -96,96 +98,94 @@ def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = RADIU
     return left.join(right, on).select("q", "fp").distinct()
 
 
-def _next_keys(keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, h) with the key that follows in descending order as ``next``."""
-    sliced = stage_by_range(keys, ["doc_id", "h"], "document-order")
+def _ranges(base: DataFrame) -> DataFrame:
+    """Slices of the document order, about equal in rows: number ``part``, least and largest
+    key, and ``target``, the slice whose last row in descending order ``top`` follows."""
+    n = SLICES_EACH * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = base.select("doc_id", "h").repartitionByRange(n, "doc_id", "h")
     key = F.struct("doc_id", "h")
-    before = F.lag(key).over(Window.partitionBy(SLICE).orderBy("doc_id", "h"))
-    ends = sliced.groupBy(SLICE).agg(F.max(key).alias("end"))  # one row for each slice
-    carried = ends.select(
-        F.col(SLICE).alias("_s"),
-        F.coalesce(
-            F.lag("end").over(Window.orderBy(SLICE)),
-            F.max("end").over(Window.orderBy(SLICE).rowsBetween(
-                Window.unboundedPreceding, Window.unboundedFollowing
-            )),
-        ).alias("_carry"),
-    )
-    return sliced.withColumn("_before", before).join(carried, sliced[SLICE] == carried["_s"]).select(
-        "doc_id", "h", "copies", F.coalesce("_before", "_carry").alias("next")
+    found = keys.groupBy(F.spark_partition_id().alias("s")).agg(
+        F.min(key).alias("least"), F.max(key).alias("top")
     )
+    # The windows without partitions have one row for each slice.
+    part = found.withColumn("part", F.row_number().over(Window.orderBy("s")) - 1)
+    target = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.lit(0))
+    return stage(part.select("part", "least", "top", target.alias("target")), "document-slices")
+
+
+def _part(ranges: DataFrame) -> Column:
+    """The row's slice, found by the least keys of all slices (one for each slice) in two
+    steps: among every k-th of them, then among the k from there."""
+    starts = [
+        (r["least"]["doc_id"], r["least"]["h"]) for r in ranges.orderBy("part").collect()
+    ]
+    if not starts:
+        return F.lit(0)
+    k = max(1, math.isqrt(len(starts)))
+    key = F.struct(F.col("doc_id"), F.col("h"))
+
+    def array(some: list) -> Column:
+        return F.array(*[
+            F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(h).cast("long").alias("h"))
+            for i, h in some
+        ])
+
+    before = (F.size(F.filter(array(starts[::k]), lambda low: low <= key)) - 1) * k
+    near = F.slice(array(starts), before + 1, k)
+    return before + F.size(F.filter(near, lambda low: low <= key)) - 1
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Every document with its own, its edited text's and the next document's fingerprint.
 
-    Texts are shuffled once by (doc_id, hash of the text); of the next document only the
-    needed head is sent.
+    Whole texts are shuffled once, to slices of the document order. A slice finds its next
+    texts itself; what follows its last row is the first row of the slice below, which is
+    sent there too: one text for each slice. The votes are counted where the texts are.
     """
     text = whole_text(docs)
     base = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         F.xxhash64(text, docs["doc_id"].isNull()).alias("h"), text.alias("text"),
     )
-    keys = base.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
-    order = stage(_next_keys(keys), "next-documents")
-    each = base.withColumn(
-        "copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
+    ranges = _ranges(base)
+    tops = ranges.select(
+        F.col("top.doc_id").alias("t_id"), F.col("top.h").alias("t_h"),
+        F.col("target").alias("part"),
     )
-    here = each.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "text", "copy")
-    sizes = base.select("doc_id", "h", F.char_length("text").alias("n")).distinct()
-    asked = order.join(
-        sizes.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"}),
-        F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")),
-    ).select("doc_id", "h", "copies", "next", "n")
-    heads = asked.join(
-        here.where("copy = 1"),
-        asked["next.doc_id"].eqNullSafe(here["p_id"]) & (asked["next.h"] == here["p_h"]),
-    ).select(
-        F.col("doc_id").alias("d_id"), F.col("h").alias("d_h"), "copies",
-        F.left("text", F.floor(F.col("n") / 2).cast("int")).alias("head"),
-    )
-    met = each.join(heads, each["doc_id"].eqNullSafe(heads["d_id"]) & (each["h"] == heads["d_h"]))
+    sent = base.join(
+        F.broadcast(tops),  # one row for each slice
+        base["doc_id"].eqNullSafe(tops["t_id"]) & (base["h"] == tops["t_h"]),
+    ).groupBy("part", "doc_id", "h").agg(F.first("text").alias("text"))
+    both = base.select(
+        _part(ranges).alias("part"), F.lit(False).alias("sent"), "doc_id", "h", "text"
+    ).union(sent.select("part", F.lit(True), "doc_id", "h", "text"))
+    order = Window.partitionBy("part").orderBy("sent", F.desc_nulls_last("doc_id"), F.desc("h"))
     n = F.char_length("text")
     k = F.floor(n / 2).cast("int")
-    last = F.col("copy") == F.col("copies")  # the other copies are followed by their equal
-    edited = F.concat(F.left("text", n - k), F.when(last, F.col("head")).otherwise(F.left("text", k)))
-    both = met.select(
-        "doc_id", "h", "copy", "copies", n.cast("long").alias("n_chars"), "text",
-        edited.alias("edited"),
-    ).select(
-        "doc_id", "h", "copy", "copies", "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(
-            F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")),
-            F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")),
-        )).alias("v"),
-    ).select("doc_id", "h", "copy", "copies", "n_chars", "edited_sha256", "v.is_edited", F.col("v.t").alias("t"))
-    keep = ["doc_id", "h", "copy", "copies", "n_chars", "edited_sha256", "is_edited"]
-    prints = stage(simhash(both, "t", keep), "document-prints")
-    own = prints.where("not is_edited").drop("is_edited")
-    changed = prints.where("is_edited").select(
-        F.col("doc_id").alias("e_id"), F.col("h").alias("e_h"), F.col("copy").alias("e_copy"),
-        F.col("fp").alias("edited_fp"),
+    edited = F.concat(F.left("text", n - k), F.left("next", k))
+
+    def version(flag: bool, of: str) -> Column:
+        return F.struct(F.lit(flag).alias("is_edited"), F.col(of).alias("t"))
+
+    keep = ["part", "place", "sent", "doc_id", "n_chars", "edited_sha256"]
+    versions = (
+        both.withColumns({"place": F.row_number().over(order), "next": F.lead("text").over(order)})
+        .select("part", "place", "sent", "doc_id", n.cast("long").alias("n_chars"), "text",
+                F.when(~F.col("sent"), edited).alias("edited"))
+        .withColumn("edited_sha256", F.sha2("edited", 256))
+        .select(*keep, F.explode(
+            F.when(F.col("sent"), F.array(version(False, "text")))
+            .otherwise(F.array(version(False, "text"), version(True, "edited")))
+        ).alias("v"))
+        .select(*keep, "v.*")
     )
-    following = own.where("copy = 1").select(
-        F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), F.col("fp").alias("next_fp")
+    prints = simhash(versions, "t", [*keep, "is_edited"]).groupBy(*keep).agg(
+        F.max(F.when(~F.col("is_edited"), F.col("fp"))).alias("fp"),
+        F.max(F.when(F.col("is_edited"), F.col("fp"))).alias("edited_fp"),
     )
-    after = order.select(
-        F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), F.col("next.doc_id").alias("x_id"),
-        F.col("next.h").alias("x_h"),
-    ).join(
-        following, F.col("x_id").eqNullSafe(F.col("n_id")) & (F.col("x_h") == F.col("n_h"))
-    ).select("o_id", "o_h", "next_fp")
-    return (
-        own.join(changed, own["doc_id"].eqNullSafe(changed["e_id"]) & (own["h"] == changed["e_h"])
-                 & (own["copy"] == changed["e_copy"]))
-        .join(after, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("h") == F.col("o_h")))
-        .select(
-            "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp",
-            F.when(F.col("copy") == F.col("copies"), F.col("next_fp")).otherwise(F.col("fp"))
-            .alias("next_fp"),
-        )
+    following = F.lead("fp").over(Window.partitionBy("part").orderBy("place"))
+    return prints.withColumn("next_fp", following).where(~F.col("sent")).select(
+        "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"
     )
 
 
