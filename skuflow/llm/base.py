@@ -113,7 +113,7 @@ def running_start(
 # Arrow and NumPy.
 
 #: Bytes of text that a Python task works on at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

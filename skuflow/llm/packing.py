@@ -40,7 +40,10 @@ def token_pieces(
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def cut(batches):
-        encoder = unit_encoder(vocabulary, lower=False, leading_space=True)
+        with unit_encoder(vocabulary, lower=False, leading_space=True).task() as encoder:
+            yield from cut_with(encoder, batches)
+
+    def cut_with(encoder, batches):
         for batch in batches:
             for part in chunks(batch):
                 ids, ends = encoder.encode(*buffers(part.column("text")))

@@ -152,7 +152,7 @@ class PieceEncoder:
         # Cutting before a space is right when no piece has one after another character.
         self._cut = not any(_MARK in p.lstrip(_MARK) for p in pieces)
         self._dtype = "<u2" if len(pieces) <= 1 << 16 else "<u4"
-        self._units = UnitEncoder(self._ids, self._dtype)
+        self.units = UnitEncoder(self._ids, self._dtype)
 
     def _ids(self, units: list[str]) -> list[bytes]:
         found = self._plain.encode(units, num_threads=1)
@@ -163,7 +163,7 @@ class PieceEncoder:
         counted from the start of its text."""
         text, ends, sources = self.normalise.batch(data, offsets)
         if self._cut:
-            ids, at = self._units.encode(text, ends)
+            ids, at = self.units.encode(text, ends)
         else:
             raw = text.tobytes()
             whole = [raw[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -227,6 +227,10 @@ def encode_pieces(docs: DataFrame, model: str, with_pieces: bool = False) -> Dat
 
     def encode(batches):
         encoder = piece_encoder(model)
+        with encoder.units.task():
+            yield from encode_with(encoder, batches)
+
+    def encode_with(encoder, batches):
         for batch in batches:
             for part in chunks(batch):
                 ids, at, (begin, stop) = encoder.encode(*buffers(part.column("text")))

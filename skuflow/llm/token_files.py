@@ -9,9 +9,14 @@ decoding what stands before.
 Files are Parquet, written and read by Spark, one row for each segment; ascending
 (part, seq) is ascending ``doc_id``.
 
-Defined results: a null or empty text is the end token alone; documents that share a
-``doc_id`` follow each other by (number of ids, ids); null ids come first; an empty table
-gives files without segments; other columns are ignored.
+Rows are dealt to tasks by ranges of (``doc_id``, number of ids, XXH64 of the ids, number
+given to the row), so that rows which share a ``doc_id``, or are equal, spread as well.
+
+Defined results: a null or empty text is the end token alone; a long text is one document
+whatever its length, in a segment of its own if it fills one; documents that share a
+``doc_id`` follow each other by (number of ids, their XXH64), and rows equal in these in any
+order; null ids come first; an empty table gives files without segments; other columns are
+ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,14 +31,12 @@ from pyspark.sql import functions as F
 
 from skuflow.llm.base import buffers, chunks, documents, running_start, ship, texts
 from skuflow.llm.vocabularies import unit_encoder, vocabulary_path
-from skuflow.session import drop_at_exit, new_path
+from skuflow.session import drop_at_exit, new_path, stage
 
 END_ID = 2
 #: Ids after which a segment is closed at the end of a document.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 BLOCK_BITS = 512
-#: Documents for each range of ids, and the most ranges.
-PART_ROWS, MAX_PARTS = 20_000, 20_000
 
 SEGMENT = (
     "part int, seq int, n_tokens long, doc_ids array<bigint>, doc_ends array<bigint>, "
@@ -121,11 +124,14 @@ class Codes:
         return out
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, bounds: list[int], end_id: int) -> DataFrame:
-    """``part`` (range of the id), ``doc_id`` and the ids, two bytes each, of whole texts."""
+def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """``doc_id`` and the ids of whole texts, two bytes each."""
 
     def encode(batches):
-        encoder = unit_encoder(vocabulary, lower=True, leading_space=False)
+        with unit_encoder(vocabulary, lower=True, leading_space=False).task() as encoder:
+            yield from encode_with(encoder, batches)
+
+    def encode_with(encoder, batches):
         for batch in batches:
             for part in chunks(batch):
                 ids, ends = encoder.encode(*buffers(part.column("text")))
@@ -139,51 +145,53 @@ def encode_documents(docs: DataFrame, vocabulary: str, bounds: list[int], end_id
                     pa.large_binary(), n,
                     [None, pa.py_buffer(stops.astype(np.int64) * 2), pa.py_buffer(flat)],
                 )
-                key = part.column("doc_id")
-                range_of = np.searchsorted(bounds, key.fill_null(0).to_numpy(), "right") + 1
-                range_of[key.is_null().to_numpy(zero_copy_only=False)] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range_of.astype(np.int32)), key, rows.cast(pa.binary())],
-                    names=["part", "doc_id", "ids"],
+                    [part.column("doc_id"), rows.cast(pa.binary())], names=["doc_id", "ids"],
                 )
 
-    return texts(docs).mapInArrow(encode, "part int, doc_id long, ids binary")
+    return texts(docs).mapInArrow(encode, "doc_id long, ids binary")
 
 
 def _segments(batches) -> Iterator[pa.RecordBatch]:
-    """Close a segment when its range ends or it is full. Rows come in order."""
-    held: list[bytes] = []
-    keys: list[int | None] = []
-    size, part, seq = 0, None, 0
+    """Close a segment when it is full. Rows of a task are one part and come in order."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, lengths, keys of runs
+    size, part, seq = 0, 0, 0
+    types = [
+        pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+        pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()),
+    ]
 
     def close():
-        ids = np.frombuffer(b"".join(held), "<u2")
+        ids = np.concatenate([x for x, _, _ in held])
         codes = Codes.of(ids)
-        ends = np.cumsum([len(x) // 2 for x in held])
-        row = {
-            "part": part, "seq": seq, "n_tokens": len(ids), "doc_ids": list(keys),
-            "doc_ends": ends.tolist(), "chunks": [c.tobytes() for c in codes.chunks],
-            "bitmaps": [b.tobytes() for b in codes.bitmaps],
-            "ranks": [r.tobytes() for r in codes.ranks],
-        }
-        types = [
-            pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
-            pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()),
+        ends = np.cumsum(np.concatenate([n for _, n, _ in held]))
+        row = [
+            part, seq, len(ids), pa.concat_arrays([k for _, _, k in held]), ends,
+            [c.tobytes() for c in codes.chunks], [b.tobytes() for b in codes.bitmaps],
+            [r.tobytes() for r in codes.ranks],
         ]
-        arrays = [pa.array([row[n]], t) for n, t in zip(_NAMES, types, strict=True)]
+        arrays = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True)
-        for p, key, ids in rows:
-            if held and (p != part or size >= SEGMENT_TOKENS):
-                yield close()
-                held, keys, size = [], [], 0
-                seq = seq + 1 if p == part else 0
-            part = p
-            held.append(ids)
-            keys.append(key)
-            size += len(ids) // 2
+        for run in chunks(batch, "ids"):
+            part = run.column("part")[0].as_py()
+            raw, at = buffers(run.column("ids"))
+            ids, at = np.ascontiguousarray(raw).view("<u2"), at // 2
+            first = 0
+            while first < run.num_rows:
+                # The first document that fills the segment is its last.
+                last = int(np.searchsorted(at, at[first] + SEGMENT_TOKENS - size))
+                last = min(max(last, first + 1), run.num_rows)
+                held.append((
+                    ids[at[first]:at[last]].copy(), np.diff(at[first:last + 1]),
+                    run.column("doc_id").slice(first, last - first),
+                ))
+                size += int(at[last] - at[first])
+                first = last
+                if size >= SEGMENT_TOKENS:
+                    yield close()
+                    held, size, seq = [], 0, seq + 1
     if held:
         yield close()
 
@@ -193,20 +201,19 @@ def write_token_files(
 ) -> None:
     """Write the ids of all documents in ascending ``doc_id`` order.
 
-    Ranges of ids come from approximate quantiles of ``doc_id`` alone; rows are dealt to
-    them while they are tokenised, so texts are neither sorted nor tokenised twice.
+    Texts are tokenised once and staged as ids; the ranges come from a sample of the order's
+    narrow columns.
     """
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
-    parts = int(min(MAX_PARTS, max(1, docs.count() // PART_ROWS)))
-    bounds: list[int] = []
-    if parts > 1:
-        steps = [i / parts for i in range(1, parts)]
-        bounds = docs.select(
-            F.percentile_approx(F.col("doc_id").cast("long"), steps, 20 * parts)
-        ).first()[0] or []
+    order = {
+        "doc_id": F.col("doc_id"), "_size": F.length("ids"), "_hash": F.xxhash64("ids"),
+        "_row": F.monotonically_increasing_id(),
+    }
+    encoded = encode_documents(docs, vocabulary, end_id)
+    tokens = stage(encoded.select("ids", *[c.alias(n) for n, c in order.items()]), "token-ids")
     (
-        encode_documents(docs, vocabulary, sorted(set(bounds)), end_id)
-        .repartition("part").sortWithinPartitions("part", "doc_id", F.length("ids"), "ids")
+        tokens.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select(F.spark_partition_id().alias("part"), "doc_id", "ids")
         .mapInArrow(_segments, SEGMENT)
         .write.parquet(path)
     )
@@ -222,7 +229,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]  # one segment
                 codes = Codes(row["chunks"], row["bitmaps"], row["ranks"])
                 ends = np.array(row["doc_ends"], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])

@@ -321,6 +321,9 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
                 mean = blocks[-1][0] if blocks[-1][1] > 0 else 0.0
                 blocks[-1][0] = (mean * blocks[-1][1] + m * w1) / total
                 blocks[-1][1] = total
+    filled = [b for b in blocks if b[1] > 0]
+    if filled and not blocks[0][1] > 0:  # bins below the first document's are like its own
+        blocks = [[filled[0][0], filled[0][1], 0], *filled[1:]]
     out = [0.0] * (_SCORE_CAP + 1)
     for (mean, _, first), nxt in zip(blocks, [*blocks[1:], [0, 0, _SCORE_CAP + 1]], strict=True):
         for k in range(first, nxt[2]):
@@ -375,10 +378,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("_score", score_column(model, whole_text(docs)))
 
 
+def _rows_scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``row``, a whole row of ``docs`` whatever its columns are named, and ``score``."""
+    ship(docs.sparkSession)
+    return docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        score_column(model, whole_text(docs)).alias("score"),
+    )
+
+
 def without_toxic(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that are not found toxic, with their columns."""
-    kept = scored(docs, train(docs, marks)).where(F.col("_score") < threshold)
-    return kept.select(*[docs[c] for c in docs.columns])
+    kept = _rows_scored(docs, train(docs, marks)).where(F.col("score") < threshold)
+    return kept.select("row.*")
 
 
 def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ it before. ``tests/llm`` compares this with the libraries on whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ import pyarrow as pa
 from skuflow.llm.base import buffers, spans
 
 _SPACE, _LINE = 0x20, 0x0A
-#: Units a task keeps; half of them go when it is full, which costs time only.
-CACHE_UNITS = 900_000
+#: Memory for the units a task keeps, and about what one takes besides its bytes. The older
+#: half goes when it is full, which costs time only.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 240
 #: Longer units are not kept.
 KEEP_BYTES = 64
 
@@ -82,8 +84,29 @@ class UnitEncoder:
         marks: bool = False,
     ):
         self._encode, self._dtype, self._marks = encode, np.dtype(dtype), marks
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all units."""
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._held = 0
+
+    @contextmanager
+    def task(self) -> Iterator[UnitEncoder]:
+        """Use by one task: what it kept is freed at its end, as workers live on."""
+        try:
+            yield self
+        finally:
+            self.clear()
+
+    def _keep(self, unit: bytes, ids: bytes) -> None:
+        if len(unit) > KEEP_BYTES:
+            return
+        if self._held > CACHE_BYTES // 2:
+            self._old, self._new, self._held = self._new, {}, 0
+        self._new[unit] = ids
+        self._held += len(unit) + len(ids) + ENTRY_BYTES
 
     def _ids_of(self, units: list[bytes]) -> list[bytes]:
         new, old = self._new, self._old
@@ -93,10 +116,8 @@ class UnitEncoder:
             texts = [units[i].decode() for i in missing]
             for i, ids in zip(missing, self._encode(texts), strict=True):
                 found[i] = ids
-        if len(new) > CACHE_UNITS // 2:
-            self._old, self._new = new, {}
-            new = self._new
-        new.update((units[i], found[i]) for i in missing if len(units[i]) <= KEEP_BYTES)
+        for i in missing:
+            self._keep(units[i], found[i])
         return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -228,6 +228,23 @@ def _found(scored, truth, fold, held):
     return right / len(rows)
 
 
+def test_scores_below_the_lowest_filled_bin_are_finite():
+    x, y = np.array([6.0, 6.0, 9.0, 12.0]), np.array([0.0, 0.0, 1.0, 1.0])
+    table = toxicity._isotonic(x, y, np.ones(4))
+    assert np.isfinite(table).all() and (np.diff(table) > 0).all()
+    assert table[0] < 0.3 < table[12] and 0 <= table[0] and table[-1] <= 1
+
+
+def test_toxic_filter_keeps_clashing_columns(spark):
+    texts, marks = _made_up(spark)
+    docs = texts.selectExpr("*", "doc_id as _score", "text as score", "1 as row")
+    kept = toxicity.without_toxic(docs, marks)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert all(r["_score"] == r["doc_id"] and r["score"] == r["text"] for r in rows)
+    assert 200 < len(rows) < 280
+
+
 def test_classifiers_learn(spark, docs, none):
     texts, marks = _made_up(spark)
     model = toxicity.train(texts, marks)
