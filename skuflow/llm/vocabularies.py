@@ -19,7 +19,7 @@ def vocabulary_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The visible characters that byte-level vocabularies write bytes as: printable
     Latin-1 stands for itself, the other bytes for U+0100 onwards."""
     own = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
@@ -38,7 +38,7 @@ class _WordTokenizer:
         self._full = Tokenizer.from_file(path)
         self._model = self._full.model
         self._lower, self._space = lower, leading_space
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         plain = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]
         self._plain = frozenset(chr(c) for c in plain if c not in (0xD7, 0xF7))
 
