@@ -84,17 +84,21 @@ def tokenizer_of(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class ByteDecoder:
-    """Bytes of ids, by reading a vocabulary's visible characters back."""
+    """Bytes of ids."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    @classmethod
+    def of_letters(cls, vocabulary: dict[str, int]) -> ByteDecoder:
+        """Read a vocabulary's visible characters back."""
         bytes_of = {letter: b for b, letter in byte_letters().items()}
-        size = max(vocabulary.values(), default=-1) + 1
-        tokens = [b""] * size
+        tokens = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, number in vocabulary.items():
             tokens[number] = bytes(bytes_of[c] for c in token)
-        self.lengths = np.fromiter(map(len, tokens), np.int64, size)
-        self._starts = np.cumsum(self.lengths) - self.lengths
-        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        return cls(tokens)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self._bytes[spans(self._starts[ids], self.lengths[ids])]
@@ -108,7 +112,7 @@ class ByteLevel:
         self._tokenizer = Tokenizer.from_str(definition)
         vocabulary = self._tokenizer.get_vocab()
         self._dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        self.decoder = ByteDecoder(vocabulary)
+        self.decoder = ByteDecoder.of_letters(vocabulary)
         self.units = UnitEncoder(self._ids, self._dtype, marks=True)
 
     def _ids(self, units: list[str]) -> list[bytes]:
@@ -215,7 +219,7 @@ def decoded_text(spark: SparkSession, ids: Column, ranks: str) -> Column:
     @F.arrow_udf("string")
     def decode(values: pa.Array) -> pa.Array:
         if "decoder" not in shared:
-            shared["decoder"] = ByteDecoder(vocabulary.value)
+            shared["decoder"] = ByteDecoder.of_letters(vocabulary.value)
         decoder = shared["decoder"]
         out = [
             None if x is None else

@@ -128,6 +128,18 @@ class Normaliser:
         return out, new_offsets, [at for _, at in parts]
 
 
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes that each id of a model stands for: its piece, or the byte it names."""
+    from sentencepiece import sentencepiece_model_pb2 as model_pb2
+
+    with open(path, "rb") as f:
+        pieces = model_pb2.ModelProto.FromString(f.read()).pieces
+    return [
+        bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE_PIECE else p.piece.replace(_MARK, " ").encode()
+        for p in pieces
+    ]
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as model_pb2
@@ -150,7 +162,7 @@ class PieceEncoder:
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self._plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         # Cutting before a space is right when no piece has one after another character.
-        self._cut = not any(_MARK in p.lstrip(_MARK) for p in pieces)
+        self.cuts_before_spaces = not any(_MARK in p.lstrip(_MARK) for p in pieces)
         self._dtype = "<u2" if len(pieces) <= 1 << 16 else "<u4"
         self.units = UnitEncoder(self._ids, self._dtype)
 
@@ -162,7 +174,7 @@ class PieceEncoder:
         """Ids of all texts, offsets of each text's ids, and the source span of each id,
         counted from the start of its text."""
         text, ends, sources = self.normalise.batch(data, offsets)
-        if self._cut:
+        if self.cuts_before_spaces:
             ids, at = self.units.encode(text, ends)
         else:
             raw = text.tobytes()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skuflow.llm import lexical_search
+from skuflow.llm.alignment import op11_tokenizer_alignment
 from skuflow.llm.byte_pairs import op12_byte_pair_encoding
 from skuflow.llm.document_prints import op3_simhash_fingerprints
 from skuflow.llm.lexical_search import op13_max_sketch_search
@@ -21,7 +22,7 @@ QUERIES = {
         op1_compression_toxicity, op2_divergence_rules, op3_simhash_fingerprints,
         op4_piece_encoding, op5_line_field_quality, op6_simhash_near_dedup,
         op7_hash_tree_sharding, op8_cutting_stock_packing, op9_license_digests,
-        op10_token_files, op12_byte_pair_encoding, op13_max_sketch_search,
+        op10_token_files, op11_tokenizer_alignment, op12_byte_pair_encoding, op13_max_sketch_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op13_max_sketch_search": lexical_search.SQL}

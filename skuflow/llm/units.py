@@ -108,7 +108,8 @@ class UnitEncoder:
         self._new[unit] = ids
         self._held += len(unit) + len(ids) + ENTRY_BYTES
 
-    def _ids_of(self, units: list[bytes]) -> list[bytes]:
+    def ids_of(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units."""
         new, old = self._new, self._old
         found = [new.get(u) or old.get(u) for u in units]
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -140,7 +141,7 @@ class UnitEncoder:
         index = units.indices.to_numpy(zero_copy_only=False)
         values, at = buffers(units.dictionary)
         raw, at = values.tobytes(), at.tolist()
-        parts = self._ids_of([raw[a:b] for a, b in zip(at, at[1:], strict=False)])
+        parts = self.ids_of([raw[a:b] for a, b in zip(at, at[1:], strict=False)])
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // self._dtype.itemsize
         flat = np.frombuffer(b"".join(parts), self._dtype)
         starts = np.cumsum(lengths) - lengths

@@ -34,8 +34,9 @@ class _WordTokenizer:
     whole, so it goes to the model at once; any other unit takes the full way.
     """
 
-    def __init__(self, path: str, lower: bool, leading_space: bool):
+    def __init__(self, path: str, lower: bool, leading_space: bool, special_as_text: bool):
         self._full = Tokenizer.from_file(path)
+        self._full.encode_special_tokens = special_as_text
         self._model = self._full.model
         self._lower, self._space = lower, leading_space
         self._letters = byte_letters()
@@ -67,13 +68,21 @@ class _WordTokenizer:
         return out
 
 
+def vocabulary_of(path: str) -> dict[str, int]:
+    """Entries of a ``tokenizers`` file as they are written there, without special tokens."""
+    return Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+
+
 @cache
-def unit_encoder(path: str, lower: bool, leading_space: bool) -> UnitEncoder:
+def unit_encoder(
+    path: str, lower: bool, leading_space: bool, special_as_text: bool = False
+) -> UnitEncoder:
     """Encoder for a ``tokenizers`` file of at most 65,536 ids.
 
-    ``lower``: its normaliser lower-cases; ``leading_space``: words carry the space before.
+    ``lower``: its normaliser lower-cases; ``leading_space``: words carry the space before;
+    ``special_as_text``: strings of special tokens are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if Tokenizer.from_file(path).get_vocab_size() > 1 << 16:
         raise ValueError("ids of two bytes only")
-    return UnitEncoder(_WordTokenizer(path, lower, leading_space), marks=True)
+    return UnitEncoder(_WordTokenizer(path, lower, leading_space, special_as_text), marks=True)
