@@ -95,7 +95,11 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self._a = unit_encoder(a_path, lower=False, leading_space=True, special_as_text=True)
         pieces = piece_encoder(b_path)
-        self._b, self._cut = pieces.units, pieces.cuts_before_spaces
+        self._b = pieces.units
+        # Where the words of A end, B does too if none of its pieces goes on there.
+        spelt = buffers(pa.array(piece_bytes(b_path), pa.binary()))
+        inner = np.setdiff1d(unit_offsets(*spelt, True), spelt[1])
+        self._cut = pieces.cuts_before_spaces and not len(inner)
         self._a_bytes = ByteDecoder.of_letters(vocabulary_of(a_path))
         self._b_bytes = ByteDecoder(piece_bytes(b_path))
         if len(self._b_bytes.lengths) > 1 << B_BITS:
@@ -126,7 +130,7 @@ class Aligner:
     def align(self, texts: pa.Array) -> Aligned:
         n = len(texts)
         data, offsets, _ = self._space.batch(*buffers(texts))
-        unit_at = unit_offsets(data, offsets) if self._cut else np.unique(offsets)
+        unit_at = unit_offsets(data, offsets, True) if self._cut else np.unique(offsets)
         units = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(unit_at) - 1, [None, pa.py_buffer(unit_at.astype(np.int64)), pa.py_buffer(data)]
         ).dictionary_encode() if len(data) else pa.array([], pa.large_binary()).dictionary_encode()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -168,7 +169,8 @@ class PieceEncoder:
 
     def _ids(self, units: list[str]) -> list[bytes]:
         found = self._plain.encode(units, num_threads=1)
-        return [np.array(ids, self._dtype).tobytes() for ids in found]
+        kind = "H" if self._dtype == "<u2" else "I"
+        return [array(kind, ids).tobytes() for ids in found]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """Ids of all texts, offsets of each text's ids, and the source span of each id,

@@ -100,14 +100,6 @@ class UnitEncoder:
         finally:
             self.clear()
 
-    def _keep(self, unit: bytes, ids: bytes) -> None:
-        if len(unit) > KEEP_BYTES:
-            return
-        if self._held > CACHE_BYTES // 2:
-            self._old, self._new, self._held = self._new, {}, 0
-        self._new[unit] = ids
-        self._held += len(unit) + len(ids) + ENTRY_BYTES
-
     def ids_of(self, units: list[bytes]) -> list[bytes]:
         """Ids of distinct units."""
         new, old = self._new, self._old
@@ -117,8 +109,16 @@ class UnitEncoder:
             texts = [units[i].decode() for i in missing]
             for i, ids in zip(missing, self._encode(texts), strict=True):
                 found[i] = ids
+        held = self._held
         for i in missing:
-            self._keep(units[i], found[i])
+            unit, ids = units[i], found[i]
+            if len(unit) <= KEEP_BYTES:
+                new[unit] = ids
+                held += len(unit) + len(ids) + ENTRY_BYTES
+                if held > CACHE_BYTES // 2:
+                    self._old, self._new, held = new, {}, 0
+                    new = self._new
+        self._held = held
         return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
