@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skuflow import adapter
 from skuflow.functions import null_if_marker
+from skuflow.operators import edit_history as H
 from skuflow.operators import edits as E
 from skuflow.operators import explore as X
 from skuflow.operators import feeds as D
@@ -72,7 +73,7 @@ def _staged(spark, d):
 
 
 def _checked(spark, d):
-    return E.check_edits(adapter.edits(spark, d), adapter.staged_before(spark, d))
+    return stage(H.check_edits(adapter.edits(spark, d), adapter.staged_before(spark, d)), "checked")
 
 
 def _valid(spark, d):
@@ -382,9 +383,7 @@ def edit_attribution(spark, d):
 
 @query
 def edit_reference_fill(spark, d):
-    objects = _objects(spark, d, _valid(spark, d))
-    rows = E.upsert_by_id(adapter.catalogue(spark, d), objects)
-    return E.fill_from_reference(objects, rows).drop("edit_seq")
+    return _edited(spark, d).objects.drop("edit_seq", "pos")
 
 
 @query
@@ -412,8 +411,7 @@ def edit_rejects(spark, d):
 
 @query
 def edit_summary(spark, d):
-    valid = _valid(spark, d)
-    return E.edit_summary(_set_rows(spark, d, valid), valid)
+    return _edited(spark, d).summary
 
 
 @query

@@ -1,8 +1,8 @@
 """Apply batches of human edits and propagate them through the tables.
 
-Each step is a phase over the whole batch, in the order a single edit takes them. Where
-edits meet, the one with the highest ``edit_seq`` wins: per id for the row itself, per
-internal SKU and per ASIN for what spreads. For one edit this is the single-row update.
+``apply_edits`` gives what the edits give one after another (``edit_history``). The steps a
+single edit takes are operators of their own as well: ``upsert_by_id``, ``propagate_parent``
+and the others set or spread the last edit of each id, internal SKU or ASIN.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from skuflow.functions import (
     is_blank, strip, utc_now,
 )
 from skuflow.functions.text import department_column
+from skuflow.operators import edit_history as H
 from skuflow.operators.joins import keep_matching, lookup, put
 from skuflow.operators.mapping import fill_blank
+from skuflow.operators.ordered import last_before
 from skuflow.schemas import (
     ATTRIBUTIONS, CATALOGUE, DEFAULT_CHANNEL, DEFAULT_SALES_TABLE, EDITS, STAGING,
 )
@@ -29,7 +31,6 @@ _SET_BY_EDIT = [
     "level_1", "linworks_title", "comment", "comment_by_finance",
 ]
 _DEPARTMENT_NAMES = ["SCM", "FINANCE", "ADMIN"]
-_REQUIRED = ["id", "marketplace_sku", "asin", "region", "sales_channel"]
 
 
 def _im_key() -> Column:
@@ -38,43 +39,6 @@ def _im_key() -> Column:
     return F.when(value != "", fold_case(value))
 
 
-def check_edits(edits: DataFrame, staging: DataFrame) -> DataFrame:
-    """Edits with a ``reason`` to reject them, null for valid ones.
-
-    Rejected are edits the tables could not store: a missing required value, a region
-    without a company, or a SKU staged under another id, by the table or by an earlier
-    edit of the batch.
-    """
-    reason = F.when(company_for_region(F.col("region")).isNull(), F.lit("no_company"))
-    for c in reversed(_REQUIRED):
-        reason = F.when(F.col(c).isNull(), F.lit(f"missing_{c}")).otherwise(reason)
-    held = staging.groupBy("marketplace_sku").agg(
-        F.struct(F.min("id").alias("lo"), F.max("id").alias("hi")).alias("held")
-    )
-    sku = {"marketplace_sku": F.col("marketplace_sku")}
-    taken = (F.col("held.lo") != F.col("id")) | (F.col("held.hi") != F.col("id"))
-    first = stage(
-        lookup(edits.withColumn("reason", reason), held, sku, "held")
-        .withColumn(
-            "reason",
-            F.coalesce(F.col("reason"), F.when(taken, F.lit("duplicate_sku"))),
-        )
-        .drop("held"),
-        "edits",
-    )
-    owner = (
-        first.where(F.col("reason").isNull()).groupBy("marketplace_sku")
-        .agg(F.min_by("id", "edit_seq").alias("owner"))
-    )
-    return lookup(first, owner, sku, "owner").withColumn(
-        "reason",
-        F.coalesce(
-            F.col("reason"),
-            F.when(F.col("owner") != F.col("id"), F.lit("duplicate_sku")),
-        ),
-    ).drop("owner")
-
-
 def _last(value: Column, when: Column | None = None) -> Column:
     order = F.col("edit_seq")
     return F.max_by(value, order if when is None else F.when(when, order))
@@ -261,28 +225,6 @@ def stage_edits(staging: DataFrame, objects: DataFrame, now: Column) -> DataFram
     return untouched(staging, objects).unionByName(joined.select(*columns))
 
 
-def edit_summary(catalogue: DataFrame, valid: DataFrame) -> DataFrame:
-    """Per edit: rows its ASIN touches and the message shown.
-
-    ``catalogue`` is the version after the edited rows were set.
-    """
-    asins = valid.select("asin").distinct()
-    counts = (
-        keep_matching(catalogue.select("asin"), asins, {"asin": F.col("asin")})
-        .groupBy("asin").agg(F.count("*").alias("n"))
-    )
-    n = F.coalesce(F.col("n"), F.lit(0))
-    # The two messages.
-    many = "%d (%s) skus have been updated for ASIN (%s). Refresh your screen to see the changes."
-    one = "%d (%s) sku has been updated for ASIN (%s)."
-    im_sku = F.coalesce(strip(F.col("im_sku")), F.lit(""))
-    return lookup(valid, counts, {"asin": F.col("asin")}, "n").select(
-        "edit_seq", "id", "asin", n.alias("updated_count"),
-        F.when(n > 1, F.format_string(many, n, im_sku, "asin"))
-        .otherwise(F.format_string(one, n, im_sku, "asin")).alias("message"),
-    )
-
-
 def edit_responses(
     catalogue: DataFrame, objects: DataFrame, summary: DataFrame
 ) -> DataFrame:
@@ -305,26 +247,88 @@ class Edited(NamedTuple):
     hierarchy: DataFrame
     summary: DataFrame
     rejects: DataFrame
-    objects: DataFrame  # the edited rows before anything spreads
+    objects: DataFrame  # the edited rows right after their own last edit
+
+
+def _objects_of(history: DataFrame, catalogue: DataFrame, fills: DataFrame, names: DataFrame, now: Column) -> DataFrame:
+    """Per edited id its row after its own last edit, with references' values and with the
+    names that earlier edits have spread to it."""
+    last = history.where(F.col("own_next") == H.END)
+    own = {"id": F.col("id")}
+    kept = ["date", "amazon_title", "created_at"]
+    old = keep_matching(catalogue.select("id", *kept), last.select("id"), own, hot=False)
+    joined = lookup(last, fills.select("pos", F.struct("level_1", "linworks_title").alias("filled")),
+                    {"pos": F.col("pos")}, "filled", hot=False)
+    joined = lookup(joined, names.withColumnRenamed("rec", "names"), own, "names", hot=False)
+    joined = lookup(joined, old.select("id", F.struct(*kept).alias("old")), own, "old", hot=False)
+    values = {c: F.col(f"names.{c}") for c in ATTRIBUTIONS} | {
+        "level_1": F.col("filled.level_1"), "linworks_title": F.col("filled.linworks_title"),
+        "parent_sku": F.col("parent"), "date": F.col("old.date"), "amazon_title": F.col("old.amazon_title"),
+        "created_at": F.coalesce("old.created_at", now), "updated_at": now,
+    }
+    columns = [values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CATALOGUE]
+    return joined.select(*columns, "edit_seq", "pos", F.col("old").isNull().alias("created"))
+
+
+def _spread_to(rows: DataFrame, pos: Column) -> DataFrame:
+    """Rows with ``rec``, what their ASIN's edits have handed out, and ``lone``, what their
+    internal SKU's edits had before; what is later than ``pos`` takes place."""
+    def newest(c: str) -> Column:
+        ended, alone = F.col(f"rec.{c}"), F.col(f"lone.{c}")
+        return F.coalesce(F.when(ended["pos"] > pos, ended), alone)
+
+    given, parent = F.col("rec.given"), newest("f_parent")
+    out = put(rows, given.isNotNull(), {"im_sku": given["im_sku"]})
+    out = put(out, parent.isNotNull(), {"parent_sku": parent["parent"]})
+    return out.withColumns({
+        a: F.coalesce(newest(c)["name"], F.col(a)) for a, c in H.FOUND.items()
+    }).select(*CATALOGUE.names)
+
+
+def _edited_catalogue(catalogue: DataFrame, objects: DataFrame, history: DataFrame, ends: DataFrame) -> DataFrame:
+    """All rows after all edits: edited ones, and others as their ASIN and internal SKU say.
+
+    The catalogue meets only what is as large as the batch: ids, ASINs and internal SKUs.
+    """
+    by_asin = {"asin": F.col("asin")}
+    others = untouched(catalogue, objects)
+    spread = H.spreads(history)
+    keys = spread.select("key").distinct()
+    holding = keep_matching(
+        others.select("id", "asin", fold_case(F.col("im_sku")).alias("key")), keys, {"key": F.col("key")}
+    )
+    holding = lookup(holding, ends, by_asin)
+    asked = holding.select("key", F.coalesce("rec.first", F.lit(H.END)).alias("at"), "id")
+    lone = last_before(spread, asked, "key", "at", H.TAKEN, "lone-rows")
+    others = lookup(others, ends, by_asin)
+    others = lookup(others, lone.select("id", F.struct(*H.TAKEN).alias("lone")), {"id": F.col("id")}, "lone", hot=False)
+    edited = lookup(objects, ends, by_asin).withColumn("lone", F.lit(None).cast(others.schema["lone"].dataType))
+    return _spread_to(others, F.lit(0)).unionByName(_spread_to(edited, F.col("pos")))
 
 
 def apply_edits(
     catalogue: DataFrame, staging: DataFrame, hierarchy: DataFrame, edits: DataFrame,
     now: Column | None = None,
 ) -> Edited:
-    """New versions of the three tables, a line per edit, rejects, and the edited rows."""
+    """New versions of the three tables, a line per edit, rejects, and the edited rows.
+
+    The result is that of applying the edits one by one in the order of ``edit_seq``, so it
+    does not depend on how a run of edits is cut into batches.
+    """
     now = utc_now() if now is None else now
-    checked = stage(check_edits(edits, staging), "checked-edits")
-    valid = checked.where(F.col("reason").isNull()).select(*EDITS.names)
-    objects = stage(edited_objects(catalogue, valid, now), "edited")
-    set_rows = upsert_by_id(catalogue, objects)
-    filled = stage(fill_from_reference(objects, set_rows), "filled")
-    spread = propagate_by_im_sku(upsert_by_id(catalogue, filled), valid)
+    checked = stage(H.check_edits(edits, staging), "checked-edits")
+    valid = checked.where(F.col("reason").isNull()).select(*EDITS.names, "pos")
+    history = H.with_history(valid, catalogue)
+    events = stage(H.asin_events(history, stage(H.handed_on(history), "handed-on")), "asin-events")
+    ends = stage(H.at_the_end(events), "asin-ends")
+    fills = H.filled(history, catalogue, ends)
+    names = H.names_before_the_end(history, catalogue, events, ends)
+    objects = stage(_objects_of(history, catalogue, fills, names, now), "edited")
     return Edited(
-        catalogue=propagate_im_sku_by_asin(spread, valid),
-        staging=stage_edits(staging, filled, now),
+        catalogue=_edited_catalogue(catalogue, objects, history, ends),
+        staging=stage_edits(staging, objects, now),
         hierarchy=propagate_parent(hierarchy, valid, exact=True),
-        summary=edit_summary(set_rows, valid),
+        summary=H.summary(history, catalogue),
         rejects=checked.where(F.col("reason").isNotNull()),
-        objects=filled,
+        objects=objects,
     )

@@ -91,3 +91,76 @@ def number_rows(
         .withColumn(column, (start + F.col("_offset") + F.col("_local")).cast("long"))
         .drop(SLICE, "_local", "_offset")
     )
+
+
+def last_before(
+    events: DataFrame, queries: DataFrame, key: str, at: str, values: Sequence[str], label: str,
+    inclusive: bool = True,
+) -> DataFrame:
+    """As-of join: for each query the last event with its key at or before its time.
+
+    ``events`` has the columns ``key``, ``at`` and ``values``, each of which is looked up on
+    its own and may be null where an event does not count for it; ``queries`` has ``key``,
+    ``at`` and others, which are kept. Without ``inclusive`` only earlier times count.
+
+    A key may hold any share of the rows: both sides are ranged together by (key, time), a
+    slice looks back over its own rows, and what it takes from those before it is one row for
+    each slice: the last event in front of it, which counts where the key is still the same.
+    """
+    kept = [c for c in queries.columns if c not in (key, at)]
+    side = F.lit(0 if inclusive else 1)
+    both = events.select(key, at, side.alias("_side"), *values).unionByName(
+        queries.select(key, at, (1 - side).alias("_side"), F.struct(F.lit(1).alias("_q"), *kept).alias("_row")),
+        allowMissingColumns=True,
+    )
+    order = [key, at, "_side"]
+    sliced = stage_by_range(both, order, label)
+    seen = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(key).alias("k"), F.col(v).alias("v"))) for v in values}
+    tails = sliced.groupBy(SLICE).agg(*[
+        F.max_by(e, F.when(e.isNotNull(), F.struct(*order))).alias(f"_tail_{v}") for v, e in seen.items()
+    ])
+    earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    carried = tails.select(SLICE, *[
+        F.last(f"_tail_{v}", ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in values
+    ])
+    local = Window.partitionBy(SLICE).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    found = sliced.withColumns({
+        f"_seen_{v}": F.last(e, ignorenulls=True).over(local) for v, e in seen.items()
+    }).where(F.col("_row").isNotNull()).join(F.broadcast(carried), SLICE, "left")
+    out = []
+    for v in values:
+        last = F.coalesce(F.col(f"_seen_{v}"), F.col(f"_carry_{v}"))
+        out.append(F.when(last["k"] == F.col(key), last["v"]).alias(v))
+    return found.select(key, at, *[F.col(f"_row.{c}").alias(c) for c in kept], *out)
+
+
+def running_total(df: DataFrame, key: str, at: str, value: str, out: str, label: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the key up to and including this time.
+
+    Slices add up their own rows; the sums of earlier slices are a row for each slice and the
+    last key it holds, as only that can go on in the next.
+    """
+    sliced = stage_by_range(df, [key, at], label)
+    ends = sliced.groupBy(SLICE).agg(F.max(key).alias("_last"))
+    tails = (
+        sliced.join(F.broadcast(ends), SLICE).where(F.col(key) == F.col("_last"))
+        .groupBy(SLICE, key).agg(F.sum(value).alias("_tail"))
+    )
+    earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = tails.select(F.col(SLICE).alias("_from"), F.col(key).alias("_k"), F.sum("_tail").over(earlier).alias("_sum"))
+    numbers = sliced.groupBy(SLICE).agg(F.min(key).alias("_first"))
+    before = (
+        numbers.join(summed, (F.col("_first") == F.col("_k")) & (F.col("_from") < F.col(SLICE)))
+        .groupBy(SLICE, "_first").agg(F.max_by("_sum", "_from").alias("_before"))
+    )
+    local = Window.partitionBy(SLICE, key).orderBy(at).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    joined = sliced.withColumn("_local", F.sum(value).over(local)).join(
+        F.broadcast(before.select(F.col(SLICE).alias("_s"), "_first", "_before")),
+        (F.col(SLICE) == F.col("_s")) & (F.col(key) == F.col("_first")), "left",
+    )
+    total = F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))
+    return joined.select(*df.columns, total.cast("long").alias(out))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skuflow.operators import edit_history as H
 from skuflow.operators import edits as E
 from skuflow.schemas import ATTRIBUTIONS, CATALOGUE, HIERARCHY, STAGING
 from tests.helpers import NOW, OLD, catalogue, edits, hierarchy, pick, staging
@@ -149,6 +150,93 @@ def test_single_edits_equal_step_by_step(spark, seed):
     assert got.rejects.count() == 0
 
 
+def _in_order(table, staged, held, batch):
+    """Edits one after another; also the reason of those that are rejected."""
+    lines, reasons = [], {}
+    for edit in sorted(batch, key=lambda e: e["edit_seq"]):
+        if any(r["marketplace_sku"] == edit["marketplace_sku"] and r["id"] != edit["id"] for r in staged):
+            reasons[edit["edit_seq"]] = "duplicate_sku"
+            continue
+        table, staged, held, line = _single_edit(table, staged, held, edit)
+        lines.append((edit["edit_seq"], *line))
+    return table, staged, held, lines, reasons
+
+
+def _random_batch(rng, ids, n):
+    name = lambda *more: rng.choice([None, "", " ", *more])
+    keys = ["x1", "X1", " x1", "x2", "x3", "X3 "]
+    table = [
+        {
+            **dict.fromkeys(CATALOGUE.names), "id": i, "marketplace_sku": f"S{i}", "asin": rng.choice("ABC"),
+            "region": "DE", "im_sku": rng.choice([None, "", *keys]), "level_1": name(f"L{i}", f"M{i}"),
+            "linworks_title": name(f"T{i}", f"U{i}"), "parent_sku": name(f"P{i}"),
+            "modified_by": rng.choice([None, f"m{i}"]), "comment": name("c"), "amazon_title": "t",
+            "created_at": OLD, "updated_at": OLD,
+        }
+        for i in ids if rng.random() < 0.7
+    ]
+    skus = rng.sample(ids, 3)
+    staged = [
+        {**dict.fromkeys(STAGING.names), "id": i, "marketplace_sku": f"S{i}", "asin": "A", "region": "DE",
+         "marketplace": "m", "level_3": "kept", "comment": "kept", "marketplace_sales_table": "t",
+         "channel": "c", "company": "x", "created_at": OLD, "updated_at": OLD}
+        for i in skus
+    ]
+    held = [{**dict.fromkeys(HIERARCHY.names), "marketplace_sku": f"H{i}", "im_sku": v} for i, v in enumerate(["x1", "X1", "x2", None])]
+    batch = []
+    for seq in range(n):
+        number = rng.choice(ids)
+        other = rng.choice(ids) if rng.random() < 0.3 else number
+        batch.append({
+            "edit_seq": 10 * seq + 3, "id": number, "marketplace_sku": f"S{other}", "asin": rng.choice("ABCD"),
+            "region": rng.choice(["DE", "ES", "UK"]), "sales_channel": rng.choice(["Amazon.co.uk", "Amazon.de"]),
+            "im_sku": rng.choice([None, "", "  ", *keys, "new"]), "parent_sku": name(f" Q{seq} "),
+            "level_1": name(f"LE{seq}"), "linworks_title": name(f"TE{seq}"), "comment": name("ce"),
+            **{c: name(f"{c[-3:]}{seq}") if rng.random() < 0.6 else None for c in ATTRIBUTIONS},
+        })
+    return table, staged, held, batch
+
+
+def _same(df, rows, schema):
+    expected = sorted(
+        (tuple(r[n] for n in schema.names) for r in rows),
+        key=lambda r: [(v is not None, str(v)) for v in r],
+    )
+    assert pick(df, *schema.names) == expected
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_equal_edits_in_order(spark, seed):
+    """Many groups of edits that meet in ids, ASINs, internal SKUs and SKUs."""
+    rng = random.Random(100 + seed)
+    given, want, lines, reasons, batch = ([], [], []), ([], [], []), [], {}, []
+    for case in range(40):
+        table, staged, held, edits_of = _random_batch(rng, list(range(1, 7)), rng.randint(2, 30))
+        for edit in edits_of:
+            edit["edit_seq"] += 1000 * case
+        for row in [*table, *staged, *held, *edits_of]:
+            _mark(case, row, ["marketplace_sku", "asin", "im_sku"])
+            if "id" in row:
+                row["id"] += 100 * case
+        *after, said, why = _in_order(table, staged, held, edits_of)
+        batch += edits_of
+        lines += said
+        reasons |= why
+        for rows, new in zip(given + want, [table, staged, held, *after]):
+            rows += new
+    assert len(reasons) > 20
+    rng.shuffle(batch)
+    got = E.apply_edits(
+        catalogue(spark, given[0]), staging(spark, given[1]), hierarchy(spark, given[2]),
+        edits(spark, batch), _now(),
+    )
+    assert {r.edit_seq: r.reason for r in got.rejects.collect()} == reasons
+    assert sorted(pick(got.summary, "edit_seq", "updated_count", "message")) == sorted(lines)
+    _same(got.hierarchy, want[2], HIERARCHY)
+    _same(got.staging, want[1], STAGING)
+    _same(got.catalogue, want[0], CATALOGUE)
+
+
 def test_batch_last_edit_wins_per_key(spark):
     cat = catalogue(spark, [
         {"id": 1, "marketplace_sku": "S1", "im_sku": "X"}, {"id": 2, "marketplace_sku": "S2", "im_sku": "x"},
@@ -191,7 +279,7 @@ def test_rejects(spark):
         {"edit_seq": 9, "id": 1, "marketplace_sku": "NEW"}, {"edit_seq": 10, "id": 2, "marketplace_sku": "NEW"},
         {"edit_seq": 11, "id": 1, "marketplace_sku": "NEW"}, {"edit_seq": 12, "id": 3, "marketplace_sku": "", "asin": ""},
     ])
-    got = {r.edit_seq: r.reason for r in E.check_edits(batch, before).collect()}
+    got = {r.edit_seq: r.reason for r in H.check_edits(batch, before).collect()}
     assert got == {
         1: "no_company", 2: "missing_asin", 3: "missing_marketplace_sku", 4: "missing_sales_channel",
         5: "missing_region", 6: "missing_id", 7: "duplicate_sku", 8: None, 9: None,
