@@ -263,12 +263,25 @@ CTES = {
     "checked_once": """select *, case when id is null then 'missing_id'
           when marketplace_sku is null then 'missing_marketplace_sku' when asin is null then 'missing_asin'
           when region is null then 'missing_region' when sales_channel is null then 'missing_sales_channel'
-          when region not in ('IT', 'UK', 'DE', 'ES') then 'no_company'
-          when exists (select 1 from staged_before s where s.marketplace_sku = e.marketplace_sku and s.id <> e.id)
-            then 'duplicate_sku' end as reason from edits e""",
+          when region not in ('IT', 'UK', 'DE', 'ES') then 'no_company' end as reason from edits e""",
+    # One SKU after another is taken by an id or refused, in a single fold over the edits.
+    "claims": """select id, marketplace_sku as sku from checked_once where reason is null
+        union select id, marketplace_sku from staged_before""",
+    "disputed": """select distinct id from claims where sku in (
+        select sku from claims group by sku having count(distinct id) > 1)""",
+    "folded": """select list_reduce(
+          (select list({'id': id, 'sku': marketplace_sku, 'seq': edit_seq,
+              'held': []::struct(id bigint, sku varchar)[], 'refused': []::bigint[]} order by edit_seq)
+            from checked_once where reason is null and id in (select id from disputed)),
+          lambda a, e: case
+            when len(list_filter(a.held, lambda h: h.sku = e.sku and h.id <> e.id)) > 0 then
+              {'id': a.id, 'sku': a.sku, 'seq': a.seq, 'held': a.held, 'refused': list_append(a.refused, e.seq)}
+            else {'id': a.id, 'sku': a.sku, 'seq': a.seq, 'refused': a.refused, 'held': list_append(
+              list_filter(a.held, lambda h: h.id <> e.id), {'id': e.id, 'sku': e.sku})} end,
+          {'id': 0::bigint, 'sku': '', 'seq': 0::bigint, 'held': (select coalesce(list({'id': id, 'sku': marketplace_sku}), [])
+            from staged_before where id in (select id from disputed)), 'refused': []::bigint[]}).refused as refused""",
     "checked": """select * replace (case when reason is not null then reason
-          when id <> arg_min(id, edit_seq) filter (where reason is null) over (partition by marketplace_sku)
-            then 'duplicate_sku' end as reason) from checked_once""",
+          when edit_seq in (select unnest(refused) from folded) then 'duplicate_sku' end as reason) from checked_once""",
     "valid": "select * exclude (reason) from checked where reason is null",
     "objects": f"""select l.id, l.edit_seq, c.date, l.marketplace_sku, l.asin, l.im_sku, l.region, l.sales_channel,
         l.level_1, l.linworks_title, c.amazon_title,
@@ -283,29 +296,82 @@ CTES = {
         left join catalogue c on c.id = l.id""",
     "set_rows": f"""select {', '.join(CATALOGUE)} from catalogue where id not in (select id from objects)
         union all select {', '.join(CATALOGUE)} from objects""",
-    "filled": f"""select o.* replace (
-          case when {_blank('o.level_1')} then coalesce(r.level_1, o.level_1) else o.level_1 end as level_1,
-          case when {_blank('o.linworks_title')} then coalesce(r.linworks_title, o.linworks_title)
-               else o.linworks_title end as linworks_title)
-        from objects o left join lateral (select s.level_1, s.linworks_title from set_rows s
-          where lower(s.im_sku) = lower(trim(o.im_sku)) and trim(o.im_sku) <> '' and s.id <> o.id
-            and not ({_blank('s.level_1')}) and not ({_blank('s.linworks_title')})
-          order by s.id limit 1) r on true""",
-    "filled_rows": f"""select {', '.join(CATALOGUE)} from catalogue where id not in (select id from objects)
-        union all select {', '.join(CATALOGUE)} from filled""",
+    # Edits one after another: rows, the ASINs they have and the internal SKUs these bring.
+    "steps": f"""select *, coalesce(lead(pos) over (partition by asin order by pos), 1000000000) as asin_next,
+          coalesce(lead(pos) over (partition by id order by pos), 1000000000) as own_next,
+          coalesce(lag(asin) over (partition by id order by pos),
+            (select asin from catalogue c where c.id = v.id)) as was
+        from (select *, row_number() over (order by edit_seq) as pos, lower(im_sku) as low,
+            nullif(lower(trim(im_sku)), '') as key, case when parent_sku <> '' then trim(parent_sku) end as parent,
+            case when not ({_blank('modified_by')}) then 'modified_by'
+              when not ({_blank('modified_by_finance')}) then 'modified_by_finance'
+              when not ({_blank('modified_by_admin')}) then 'modified_by_admin' end as dept,
+            coalesce({', '.join(f"case when not ({_blank(c)}) then {c} end" for c in ATTR)}) as name
+          from valid) v""",
+    "memberships": """select id, asin, pos as lo, own_next as hi, pos as source from steps
+        union all select c.id, c.asin, 0, coalesce((select min(pos) from steps s where s.id = c.id), 1000000000), 0
+          from catalogue c""",
+    "lives": """select m.id, m.source, s.low, s.pos as lo, least(s.asin_next, m.hi) as hi
+        from memberships m join steps s on s.asin = m.asin and s.pos >= greatest(m.lo, 1) and s.pos < m.hi
+        union all select m.id, 0, lower(c.im_sku), 0, least(m.hi, coalesce(
+            (select min(pos) from steps s where s.asin = m.asin), 1000000000))
+          from memberships m join catalogue c on c.id = m.id where m.source = 0""",
+    "by_im": """select l.id, g.pos, g.parent, g.dept, g.name from lives l
+        join steps g on g.key = l.low and g.pos > l.lo and g.pos <= l.hi and g.id <> l.id""",
+    "by_asin": """select m.id, g.pos, g.im_sku, g.dept, g.name from memberships m
+        join steps g on g.asin = m.asin and g.pos > m.lo and g.pos < m.hi and g.id <> m.id""",
+    "named": f"""select id, pos, dept, name from by_im where dept is not null
+        union all select id, pos, dept, name from by_asin where dept is not null
+        union all {' union all '.join(
+            f"select id, pos, '{c}', {c} from steps where not ({_blank(c)})" for c in ATTR)}""",
+    "edges": f"""select e.pos, l.id as other, l.source from steps e
+        join lives l on l.low = e.key and e.pos > l.lo and e.pos <= l.hi and l.id <> e.id
+        where {_blank('e.level_1')} or {_blank('e.linworks_title')}""",
+    "stored_complete": f"""select id from catalogue where not ({_blank('level_1')}) and not ({_blank('linworks_title')})""",
+    "complete": f"""select pos from steps where not ({_blank('level_1')}) and not ({_blank('linworks_title')})
+        union select pos from edges where source = 0 and other in (select id from stored_complete)
+        union select e.pos from edges e join complete c on c.pos = e.source""",
+    "refs": """select e.pos, arg_min(e.source, e.other) as source, min(e.other) as other from edges e
+        where (e.source = 0 and e.other in (select id from stored_complete))
+          or (e.source > 0 and e.source in (select pos from complete)) group by e.pos""",
+    "chain": f"""select s.pos, c.c, s.pos as at from steps s, (values ('level_1'), ('linworks_title')) c(c)
+        union select n.pos, n.c, r.source from chain n join steps s on s.pos = n.at join refs r on r.pos = n.at
+          where r.source > 0 and case n.c when 'level_1' then {_blank('s.level_1')} else {_blank('s.linworks_title')} end""",
+    "found": f"""select n.pos, {', '.join(f"""max(case when n.c = '{c}' then
+            case when not ({_blank(f's.{c}')}) or r.other is null then s.{c} else k.{c} end end) as {c}"""
+            for c in ('level_1', 'linworks_title'))}
+        from chain n join steps s on s.pos = n.at left join refs r on r.pos = n.at
+        left join catalogue k on k.id = r.other
+        where not exists (select 1 from chain m where m.pos = n.pos and m.c = n.c and m.at < n.at) group by n.pos""",
+    "filled": f"""select o.id, o.edit_seq, o.pos, c.date, o.marketplace_sku, o.asin, o.im_sku, o.region, o.sales_channel,
+        f.level_1, f.linworks_title, c.amazon_title, o.parent as parent_sku,
+        {', '.join(f"""coalesce((select arg_max(n.name, n.pos) from named n
+            where n.id = o.id and n.dept = '{c}' and n.pos <= o.pos), c.{c}) as {c}""" for c in ATTR)},
+        o.comment, o.comment_by_finance, coalesce(c.created_at, {NOW}) as created_at, {NOW} as updated_at,
+        c.id is null as created
+        from steps o join found f on f.pos = o.pos left join catalogue c on c.id = o.id where o.own_next = 1000000000""",
     "messages": """select edit_seq, id, asin, n as updated_count,
         n || ' (' || trim(coalesce(im_sku, '')) || case when n > 1
           then ') skus have been updated for ASIN (' || asin || '). Refresh your screen to see the changes.'
           else ') sku has been updated for ASIN (' || asin || ').' end as message
-        from (select v.*, (select count(*) from set_rows s where s.asin = v.asin) as n from valid v)""",
+        from (select e.*, (select count(*) from memberships m
+            where m.asin = e.asin and m.lo <= e.pos and e.pos < m.hi) as n from steps e)""",
+    "filled_rows": f"""select {', '.join(CATALOGUE)} from catalogue where id not in (select id from filled)
+        union all select {', '.join(CATALOGUE)} from filled""",
+    "edited": f"""select t.* replace (
+          case when i.at is not null then i.im_sku else t.im_sku end as im_sku,
+          case when p.at is not null then p.parent else t.parent_sku end as parent_sku,
+          {', '.join(f"""coalesce((select arg_max(n.name, n.pos) from named n
+            where n.id = t.id and n.dept = '{c}'), t.{c}) as {c}""" for c in ATTR)})
+        from filled_rows t
+        left join (select id, max(pos) as at, arg_max(struct_pack(v := im_sku), pos).v as im_sku from by_asin b
+          where pos > coalesce((select max(pos) from steps s where s.id = b.id), 0) group by id) i on i.id = t.id
+        left join (select id, max(pos) as at, arg_max(struct_pack(v := parent), pos).v as parent from by_im b
+          where pos > coalesce((select max(pos) from steps s where s.id = b.id), 0) group by id) p on p.id = t.id""",
     "keyed_im": _keyed("lower(trim(im_sku))", "case when parent_sku <> '' then trim(parent_sku) end"),
     "keyed_im_exact": _keyed("trim(im_sku)", "case when parent_sku <> '' then trim(parent_sku) end"),
     "keyed_asin": _keyed("asin", "im_sku"),
-    "spread_im": f"""select {_spread_columns('parent_sku', True)}
-        from filled_rows t left join keyed_im k on k.key = lower(t.im_sku)""",
-    "edited": f"""select {_spread_columns('im_sku', True)}
-        from spread_im t left join keyed_asin k on k.key = t.asin""",
-    "restaged": f"""select {', '.join(STAGING)} from staged_before where id not in (select id from objects)
+    "restaged": f"""select {', '.join(STAGING)} from staged_before where id not in (select id from filled)
         union all by name
         select o.id, o.marketplace_sku, o.asin, o.im_sku, o.parent_sku, o.region,
           case when o.sales_channel = 'Amazon.co.uk' then 'Amazon.uk' else o.sales_channel end as marketplace,
@@ -330,7 +396,7 @@ def _sql(body: str) -> str:
 
     visit(body)
     parts = [f"{n} as ({CTES[n]})" for n in CTES if n in needed]
-    return f"with {', '.join(parts)} {body}" if parts else body
+    return f"with recursive {', '.join(parts)} {body}" if parts else body
 
 
 _RECORD = f"{KEY3}, {', '.join(VALUES)}"
@@ -451,7 +517,7 @@ BODIES = {
     "edit_responses": f"""select e.id, e.marketplace_sku, e.asin, e.im_sku, e.parent_sku, e.region, e.sales_channel,
         e.level_1, e.linworks_title, e.comment, e.comment_by_finance, {', '.join(f'e.{c}' for c in ATTR)},
         o.created, m.message
-        from edited e join objects o on o.id = e.id join messages m on m.edit_seq = o.edit_seq""",
+        from edited e join filled o on o.id = e.id join messages m on m.edit_seq = o.edit_seq""",
     "edits_applied": f"select {_C} from edited",
 }
 
