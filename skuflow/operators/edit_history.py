@@ -24,7 +24,7 @@ from skuflow.functions import company_for_region, department_of, edit_strip, fol
 from skuflow.functions.text import department_column
 from skuflow.operators.joins import keep_matching, lookup
 from skuflow.operators.ordered import last_before, number_rows, running_total
-from skuflow.operators.spans import least_holding, least_two
+from skuflow.operators.spans import held_by_others, least_holding, least_two
 from skuflow.schemas import ATTRIBUTIONS, EDITS
 from skuflow.session import stage
 
@@ -34,6 +34,8 @@ _DEPARTMENTS = {"SCM": "d_scm", "FINANCE": "d_finance", "ADMIN": "d_admin"}
 FOUND = {department_column(d): c for d, c in _DEPARTMENTS.items()}
 #: Later than any edit.
 END = 1 << 62
+#: Edits that are few enough for one task whatever they have in common.
+FEW = 1_000_000
 
 
 def _levels(numbered: DataFrame) -> int:
@@ -63,7 +65,6 @@ def check_edits(edits: DataFrame, staging: DataFrame) -> DataFrame:
     numbered = number_rows(
         edits.select(*EDITS.names, reason.alias("reason")), order, F.lit(0), "pos", "numbered-edits"
     )
-    numbered = stage(numbered, "numbered-edits")
     wanted = numbered.where("reason is null").select("id", "marketplace_sku").distinct()
     skus = wanted.select("marketplace_sku").distinct()
     holders = keep_matching(
@@ -131,30 +132,28 @@ def _round(rows: DataFrame, levels: int) -> DataFrame:
     last = F.lit((1 << levels) - 1)
     tenures = _after(_after(rows, F.col("state") >= 0, "sure_end"), F.col("state") == 1, "last_end")
 
-    def held(where: str, end: str) -> DataFrame:
+    def held(where: str, end: str, sure: bool) -> DataFrame:
         return tenures.where(where).select(
             F.col("marketplace_sku").alias("key"), (F.col("pos") + 1).alias("lo"),
-            F.least(F.col(end) - 1, last).alias("hi"), "id",
+            F.least(F.col(end) - 1, last).alias("hi"), "id", F.lit(sure).alias("sure"),
         )
 
     points = rows.where("state = 0").select(
         F.col("marketplace_sku").alias("key"), F.col("pos").alias("at"), F.col("pos").alias("point"),
         F.col("id").alias("own"),
     )
-    sure = least_holding(held("state = 1", "sure_end"), points, levels, "own")
-    possible = least_holding(held("state >= 0", "last_end"), points, levels, "own")
-    at = {"point": F.col("pos")}
-    found = lookup(rows, sure.select("point", F.lit(True).alias("sure")), at, "sure", hot=False)
-    found = lookup(found, possible.select("point", F.lit(True).alias("possible")), at, "possible", hot=False)
-    state = F.when(F.col("state") != 0, F.col("state")).when(F.col("sure"), -1).when(
-        F.col("possible").isNull(), 1).otherwise(0)
+    tenures = held("state = 1", "sure_end", True).unionByName(held("state >= 0", "last_end", False))
+    others = held_by_others(tenures, points, levels)
+    found = lookup(rows, others, {"point": F.col("pos")}, hot=False)
+    free = ~F.coalesce(F.col("rec.possible"), F.lit(False))
+    state = F.when(F.col("state") != 0, F.col("state")).when(F.col("rec.sure"), -1).when(free, 1).otherwise(0)
     return found.select("id", "marketplace_sku", "pos", state.alias("state"))
 
 
 # Histories of valid edits.
 
 
-def with_history(valid: DataFrame, catalogue: DataFrame) -> DataFrame:
+def with_history(valid: DataFrame, catalogue: DataFrame, few: bool = False) -> DataFrame:
     """Valid edits with what surrounds them.
 
     ``asin_next``: the next edit of the ASIN; ``own_next``, ``own_before``: the id's; ``was``:
@@ -167,11 +166,9 @@ def with_history(valid: DataFrame, catalogue: DataFrame) -> DataFrame:
         "parent": edit_strip(F.col("parent_sku")), "dept": department_of(), "back": -F.col("pos"),
         "own": F.col("id").cast("string"),
     })
-    rows = stage(rows, "edits")
-
     def beside(df: DataFrame, key: str, at: str, value: Column, name: str) -> DataFrame:
         events = rows.select(key, at, value.alias(name))
-        return last_before(events, df, key, at, [name], f"edits-{name}", inclusive=False)
+        return last_before(events, df, key, at, [name], f"edits-{name}", inclusive=False, bounded=few)
 
     out = beside(rows, "asin", "back", F.col("pos"), "asin_next")
     out = beside(out, "own", "back", F.col("pos"), "own_next")
@@ -213,11 +210,11 @@ def _latest(*columns: Column) -> Column:
     return out
 
 
-def handed_on(history: DataFrame) -> DataFrame:
+def handed_on(history: DataFrame, few: bool = False) -> DataFrame:
     """For each edit what the rows of its ASIN take, through the internal SKU it gave them,
     from the last edits until the ASIN's next one: a column each of ``TAKEN``."""
     asked = history.select(F.col("low").alias("key"), F.col("asin_next").alias("at"), "asin", "pos")
-    found = last_before(spreads(history), asked, "key", "at", TAKEN, "handed-on")
+    found = last_before(spreads(history), asked, "key", "at", TAKEN, "handed-on", bounded=few)
     return found.select("asin", "pos", *[
         F.when(F.col(c)["pos"] > F.col("pos"), F.col(c)).alias(c) for c in TAKEN
     ])
@@ -268,7 +265,7 @@ def summary(history: DataFrame, catalogue: DataFrame) -> DataFrame:
 # References: a complete row of the same internal SKU at the moment of an edit.
 
 
-def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame) -> DataFrame:
+def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: bool = False) -> DataFrame:
     """For edits that leave the category or title blank: the lowest other id that is complete
     and has their internal SKU then (``pos``, ``ref``; J9, M6)."""
     blank = is_blank(F.col("level_1")) | is_blank(F.col("linworks_title"))
@@ -291,22 +288,19 @@ def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame) -> Dat
     # interval two are enough.
     hi = F.least(F.coalesce("first", last), F.coalesce(F.col("until") - 1, last))
     alone = least_two(rows.where("wanted").select(F.col("low").alias("key"), hi.alias("hi"), "id"), ["key", "hi"])
-    alone = alone.select(
-        "key", F.lit(1).cast("long").alias("lo"), "hi", F.explode(F.array("first", "second")).alias("id")
-    ).where("id is not null")
+    alone = alone.select("key", F.lit(1).cast("long").alias("lo"), "hi", "id")
     # Afterwards it has its ASIN's, until its own edit.
     member = least_two(
         rows.where("first is not null").select(
             F.col("asin").alias("key"), F.coalesce(F.col("until") - 1, last).alias("hi"), "id"
         ), ["key", "hi"],
-    ).select(
-        "key", F.lit(1).cast("long").alias("lo"), "hi", F.explode(F.array("first", "second")).alias("id")
-    ).where("id is not null")
+    ).select("key", F.lit(1).cast("long").alias("lo"), "hi", "id")
     edited = history.select(
         F.col("asin").alias("key"), (F.col("pos") + 1).alias("lo"),
         F.least(F.col("own_next") - 1, last).alias("hi"), "id", "pos", complete.alias("complete"),
     )
-    pieces = stage(_pieces(history, last), "asin-pieces")
+    pieces = _pieces(history, last, few)
+    pieces = stage(keep_matching(pieces, keys, {"key": F.col("low")}), "asin-pieces")
     members = stage(member.unionByName(edited.where("complete").drop("pos", "complete")), "members")
     alone = stage(alone, "lone-rows")
     known = -1
@@ -332,18 +326,19 @@ def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame) -> Dat
         )
 
 
-def _pieces(history: DataFrame, last: Column) -> DataFrame:
+def _pieces(history: DataFrame, last: Column, few: bool) -> DataFrame:
     """Spans in which an ASIN's rows share an internal SKU and none of them is edited."""
     steps = _union(
         history.select("asin", F.col("pos").alias("at"), F.struct("low").alias("given")),
         history.where("was <> asin").select(F.col("was").alias("asin"), F.col("pos").alias("at")),
     )
-    steps = stage(steps, "asin-steps")
+    steps = steps if few else stage(steps, "asin-steps")
     queries = steps.select("asin", "at")
-    with_low = last_before(steps.where("given is not null"), queries, "asin", "at", ["given"], "piece-skus")
+    with_low = last_before(steps.where("given is not null"), queries, "asin", "at", ["given"], "piece-skus", bounded=few)
     back = steps.select("asin", (-F.col("at")).alias("back"), F.col("at").alias("next"))
     out = last_before(
-        back, with_low.withColumn("back", -F.col("at")), "asin", "back", ["next"], "piece-ends", inclusive=False
+        back, with_low.withColumn("back", -F.col("at")), "asin", "back", ["next"], "piece-ends",
+        inclusive=False, bounded=few,
     )
     return out.where(F.col("given.low").isNotNull()).select(
         F.col("asin").alias("key"), (F.col("at") + 1).alias("at"),
@@ -352,17 +347,17 @@ def _pieces(history: DataFrame, last: Column) -> DataFrame:
     ).where("at <= hi")
 
 
-def filled(history: DataFrame, catalogue: DataFrame, ends: DataFrame) -> DataFrame:
+def filled(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: bool = False) -> DataFrame:
     """``pos``, ``level_1`` and ``linworks_title`` of the edits, blanks filled (M6).
 
     A reference may itself have been filled by an edit; pointers to such are followed by
     doubling, so a chain of n takes log n steps.
     """
-    refs = references(history, catalogue, ends)
+    refs = references(history, catalogue, ends, few)
     own = history.select("pos", "id", F.col("id").cast("string").alias("own"), "level_1", "linworks_title")
     asked = refs.select(F.col("ref").cast("string").alias("own"), "pos", "ref")
     states = own.select("own", "pos", F.col("pos").alias("source"))
-    at = last_before(states, asked, "own", "pos", ["source"], "reference-states", inclusive=False)
+    at = last_before(states, asked, "own", "pos", ["source"], "reference-states", inclusive=False, bounded=few)
     stored = keep_matching(
         catalogue.select("id", "level_1", "linworks_title"), refs.select(F.col("ref").alias("id")).distinct(),
         {"id": F.col("id")}, hot=False,
@@ -398,7 +393,9 @@ def filled(history: DataFrame, catalogue: DataFrame, ends: DataFrame) -> DataFra
 # Attributions of edited rows.
 
 
-def names_before_the_end(history: DataFrame, catalogue: DataFrame, events: DataFrame, ends: DataFrame) -> DataFrame:
+def names_before_the_end(
+    history: DataFrame, catalogue: DataFrame, events: DataFrame, ends: DataFrame, few: bool = False
+) -> DataFrame:
     """Per edited id the names it has right after its last own edit (``id``, ``rec`` with a
     column for each attribution)."""
     given = spreads(history)
@@ -417,7 +414,7 @@ def names_before_the_end(history: DataFrame, catalogue: DataFrame, events: DataF
     alone = last_before(
         given, stored.select(
             F.col("low").alias("key"), F.least(F.coalesce("first", F.lit(END)), F.col("until") - 1).alias("at"), "id",
-        ), "key", "at", TAKEN, "names-alone",
+        ), "key", "at", TAKEN, "names-alone", bounded=few,
     ).select("id", *FOUND.values())
     # In each membership that an own edit ends: the ASIN's events, and what the internal SKU
     # brings that the ASIN had last.
@@ -426,13 +423,14 @@ def names_before_the_end(history: DataFrame, catalogue: DataFrame, events: DataF
         stored.select("id", "asin", F.lit(0).cast("long").alias("lo"), F.col("until").alias("at")),
     )
     within = last_before(
-        events, memberships, "asin", "at", ["given", *FOUND.values()], "names-within", inclusive=False
+        events, memberships, "asin", "at", ["given", *FOUND.values()], "names-within",
+        inclusive=False, bounded=few,
     )
     inside = within.select("id", *[F.when(F.col(c)["pos"] > F.col("lo"), F.col(c)).alias(c) for c in FOUND.values()])
     cut = within.where(F.col("given").isNotNull()).select(
         F.col("given.low").alias("key"), "at", "id", F.greatest(F.col("given.pos"), F.col("lo")).alias("lo")
     )
-    cut = last_before(given, cut, "key", "at", TAKEN, "names-cut", inclusive=False)
+    cut = last_before(given, cut, "key", "at", TAKEN, "names-cut", inclusive=False, bounded=few)
     cut = cut.select("id", *[F.when(F.col(c)["pos"] > F.col("lo"), F.col(c)).alias(c) for c in FOUND.values()])
     every = _union(original, own, alone, inside, cut)
     return every.groupBy("id").agg(F.struct(*[

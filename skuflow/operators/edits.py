@@ -318,11 +318,12 @@ def apply_edits(
     now = utc_now() if now is None else now
     checked = stage(H.check_edits(edits, staging), "checked-edits")
     valid = checked.where(F.col("reason").isNull()).select(*EDITS.names, "pos")
-    history = H.with_history(valid, catalogue)
-    events = stage(H.asin_events(history, stage(H.handed_on(history), "handed-on")), "asin-events")
+    few = valid.count() <= H.FEW
+    history = H.with_history(valid, catalogue, few)
+    events = stage(H.asin_events(history, H.handed_on(history, few)), "asin-events")
     ends = stage(H.at_the_end(events), "asin-ends")
-    fills = H.filled(history, catalogue, ends)
-    names = H.names_before_the_end(history, catalogue, events, ends)
+    fills = H.filled(history, catalogue, ends, few)
+    names = H.names_before_the_end(history, catalogue, events, ends, few)
     objects = stage(_objects_of(history, catalogue, fills, names, now), "edited")
     return Edited(
         catalogue=_edited_catalogue(catalogue, objects, history, ends),

@@ -95,7 +95,7 @@ def number_rows(
 
 def last_before(
     events: DataFrame, queries: DataFrame, key: str, at: str, values: Sequence[str], label: str,
-    inclusive: bool = True,
+    inclusive: bool = True, bounded: bool = False,
 ) -> DataFrame:
     """As-of join: for each query the last event with its key at or before its time.
 
@@ -106,6 +106,7 @@ def last_before(
     A key may hold any share of the rows: both sides are ranged together by (key, time), a
     slice looks back over its own rows, and what it takes from those before it is one row for
     each slice: the last event in front of it, which counts where the key is still the same.
+    ``bounded`` says that all rows together would fit a task; each key is then one window.
     """
     kept = [c for c in queries.columns if c not in (key, at)]
     side = F.lit(0 if inclusive else 1)
@@ -114,6 +115,14 @@ def last_before(
         allowMissingColumns=True,
     )
     order = [key, at, "_side"]
+    if bounded:
+        local = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        found = both.withColumns({
+            v: F.when(F.col(key).isNotNull(), F.last(v, ignorenulls=True).over(local)) for v in values
+        }).where(F.col("_row").isNotNull())
+        return found.select(key, at, *[F.col(f"_row.{c}").alias(c) for c in kept], *values)
     sliced = stage_by_range(both, order, label)
     seen = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(key).alias("k"), F.col(v).alias("v"))) for v in values}
     tails = sliced.groupBy(SLICE).agg(*[

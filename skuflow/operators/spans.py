@@ -8,7 +8,7 @@ intervals to what is asked of them: however many share a key, a block is one row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.operators.joins import lookup
@@ -33,13 +33,31 @@ def _holding(at: str, levels: int) -> Column:
     )
 
 
-def least_two(df: DataFrame, keys: list[str], label: str = "id") -> DataFrame:
-    """The least and the second least different ``label`` of each key."""
-    first = df.groupBy(*keys).agg(F.min(label).alias("first"))
-    known = first.select(*keys, F.struct("first").alias("rec"))
-    rest = lookup(df, known, {k: F.col(k) for k in keys})
-    second = rest.where(F.col(label) > F.col("rec.first")).groupBy(*keys).agg(F.min(label).alias("second"))
-    return first.join(second, keys, "left")
+def least_two(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the two least ids of each key; a key has an id once at most.
+
+    Spark cuts the groups down before it shuffles them, so a hot key is two rows a task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    return df.select(*keys, "id").withColumn("_rank", rank).where("_rank <= 2").drop("_rank")
+
+
+_AT = ["key", "size", "number"]
+
+
+def _cut(intervals: DataFrame, levels: int) -> DataFrame:
+    """Intervals in blocks."""
+    kept = [c for c in intervals.columns if c not in ("key", "lo", "hi")]
+    return intervals.where("lo <= hi").select(
+        "key", F.explode(_blocks("lo", "hi", levels)).alias("b"), *kept
+    ).select("key", "b.size", "b.number", *kept)
+
+
+def _met(points: DataFrame, blocks: DataFrame, levels: int) -> DataFrame:
+    """Points with the ``rec`` of each block that holds them."""
+    probes = points.select("*", F.explode(_holding("at", levels)).alias("b")).select("*", "b.size", "b.number")
+    met = lookup(probes, blocks, {c: F.col(c) for c in _AT})
+    return met.where(F.col("rec").isNotNull())
 
 
 def least_holding(
@@ -47,26 +65,34 @@ def least_holding(
 ) -> DataFrame:
     """For each point the least ids of the intervals of its key that hold it.
 
-    ``intervals`` has ``key``, ``lo``, ``hi``, ``id``; ``points`` has ``key``, ``at``, a unique
-    ``point`` and, if named, the id ``own`` that does not count. Returns ``point``, ``first``
-    and ``second`` for points that any interval holds.
+    ``intervals`` has ``key``, ``lo``, ``hi``, ``id``, and those of an id do not overlap;
+    ``points`` has ``key``, ``at``, a unique ``point`` and, if named, the id ``own`` that does
+    not count. Returns ``point``, ``first`` and ``second`` for points that any interval holds.
     """
-    cut = intervals.where("lo <= hi").select(
-        "key", F.explode(_blocks("lo", "hi", levels)).alias("block"), "id"
-    ).select("key", "block.size", "block.number", "id")
-    # Two ids are enough: one of them may be the point's own.
-    pairs = least_two(cut, ["key", "size", "number"])
-    probes = points.select("*", F.explode(_holding("at", levels)).alias("block")).select(
-        "point", "key", *([own] if own else []), "block.size", "block.number"
-    )
-    right = pairs.select("key", "size", "number", F.array("first", "second").alias("rec"))
-    met = lookup(probes, right, {"key": F.col("key"), "size": F.col("size"), "number": F.col("number")})
-    ids = met.where(F.col("rec").isNotNull()).select(
-        "point", *([own] if own else []), F.explode("rec").alias("id")
-    ).where(F.col("id").isNotNull())
+    # Two ids of a block are enough: one of them may be the point's own.
+    pairs = least_two(_cut(intervals, levels), _AT).groupBy(*_AT).agg(F.collect_list("id").alias("rec"))
+    ids = _met(points, pairs, levels).select("point", *([own] if own else []), F.explode("rec").alias("id"))
     if own:
         ids = ids.where(F.col("id") != F.col(own))
     # At most two for each block size, so the sets are small.
     return ids.groupBy("point").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(
         "point", F.get("ids", F.lit(0)).alias("first"), F.get("ids", F.lit(1)).alias("second")
     )
+
+
+def held_by_others(intervals: DataFrame, points: DataFrame, levels: int) -> DataFrame:
+    """Per ``point`` whether an interval of another id than ``own`` holds it (``possible``), and
+    whether one does that is marked ``sure``; points that none holds are left out."""
+    sure = F.when(F.col("sure"), F.col("id"))
+    blocks = _cut(intervals, levels).groupBy(*_AT).agg(F.struct(
+        F.min("id").alias("lo"), F.max("id").alias("hi"),
+        F.min(sure).alias("sure_lo"), F.max(sure).alias("sure_hi"),
+    ).alias("rec"))
+
+    def other(lo: str, hi: str) -> Column:
+        # If any id is not the own one, the least or the greatest is not.
+        return F.bool_or((F.col(f"rec.{lo}") != F.col("own")) | (F.col(f"rec.{hi}") != F.col("own")))
+
+    return _met(points, blocks, levels).groupBy("point").agg(
+        F.struct(other("lo", "hi").alias("possible"), other("sure_lo", "sure_hi").alias("sure")).alias("rec")
+    )
