@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skuflow.llm.base import buffers, chunks, documents, running_start, ship, texts
 from skuflow.llm.vocabularies import unit_encoder, vocabulary_path
-from skuflow.session import drop_at_exit, new_path, stage
+from skuflow.session import drop_at_exit, new_path
 
 END_ID = 2
 #: Ids after which a segment is closed at the end of a document.
@@ -196,6 +196,14 @@ def _segments(batches) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def _stored(ids: DataFrame) -> DataFrame:
+    """A stage table of ids, which the default codec does not make smaller."""
+    path = new_path(ids.sparkSession, "token-ids")
+    ids.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(ids.sparkSession, path)
+    return ids.sparkSession.read.schema(ids.schema).parquet(path)
+
+
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID
 ) -> None:
@@ -210,12 +218,12 @@ def write_token_files(
         "_row": F.monotonically_increasing_id(),
     }
     encoded = encode_documents(docs, vocabulary, end_id)
-    tokens = stage(encoded.select("ids", *[c.alias(n) for n, c in order.items()]), "token-ids")
+    tokens = _stored(encoded.select("ids", *[c.alias(n) for n, c in order.items()]))
     (
         tokens.repartitionByRange(*order).sortWithinPartitions(*order)
         .select(F.spark_partition_id().alias("part"), "doc_id", "ids")
         .mapInArrow(_segments, SEGMENT)
-        .write.parquet(path)
+        .write.option("compression", "zstd").parquet(path)
     )
 
 
