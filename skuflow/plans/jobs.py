@@ -17,7 +17,7 @@ from skuflow.operators.merge import (
 )
 from skuflow.schemas import FULL_KEY
 from skuflow.session import stage
-from skuflow.sources.tables import dashboard_rows
+from skuflow.sources.tables import POSITION, dashboard_rows
 
 
 def map_feed(feed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -47,8 +47,13 @@ class Dump(NamedTuple):
 def dump(
     catalogue: DataFrame, csv_rows: DataFrame, feed: DataFrame, now: Column | None = None
 ) -> Dump:
-    """Append catalogue CSV rows, then stamp the feed's latest date and title."""
-    order = [*FULL_KEY, *[c for c in csv_rows.columns if c not in FULL_KEY]]
+    """Append catalogue CSV rows, then stamp the feed's latest date and title.
+
+    Rows read with their positions get their ids as they stand in the files, so of rows with
+    one key the later line wins wherever the highest id does. Others are numbered by value.
+    """
+    by_value = [*FULL_KEY, *[c for c in csv_rows.columns if c not in FULL_KEY]]
+    order = [POSITION] if POSITION in csv_rows.columns else by_value
     loaded = append_rows(catalogue, csv_rows.where(has_full_key()), order, now)
     return Dump(
         stamp_catalogue_from_feed(loaded, feed_latest(feed)),

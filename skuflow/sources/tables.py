@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from skuflow.functions import CSV_NULLS, is_blank, iso_text
 from skuflow.schemas import CSV_COLUMN_NAMES, CSV_OPTIONAL, FEED, FEED_COLUMN_NAMES
 
+POSITION = "_position"
+
 
 def conform(
     df: DataFrame, schema: T.StructType, names: Mapping[str, str] | None = None,
@@ -60,12 +62,16 @@ def read_feeds(
 
 
 def read_catalogue_csv(
-    spark: SparkSession, path: str, multi_line: bool = True
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, positions: bool = False,
 ) -> DataFrame:
     """Catalogue rows of CSV files with a header; ``Comment`` is optional.
 
     Columns are found by name. Quoted fields may hold line breaks, so a file is one
     task; for files without them ``multi_line=False`` lets Spark split each file.
+
+    ``positions`` adds ``POSITION``, by which rows sort as they stand: files by path, then
+    the block of the file that a task reads, then the row among those the task reads. The last
+    is comparable inside a block only, which is all that the sort asks of it.
     """
     raw = (
         spark.read.option("header", True).option("escape", '"')
@@ -81,6 +87,9 @@ def read_catalogue_csv(
         else:
             raise ValueError(f"column {source!r} is missing in {path}")
         columns.append(value.alias(name))
+    if positions:
+        block = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start")]
+        columns.append(F.struct(*block, F.monotonically_increasing_id().alias("row")).alias(POSITION))
     return raw.select(*columns)
 
 

@@ -5,9 +5,11 @@ import json
 import pytest
 
 from skuflow import schemas as S
+from skuflow.operators import mapping as M
+from skuflow.plans import jobs
 from skuflow.session import shared_dir, stage, stage_scope
 from skuflow.sources import tables as T
-from tests.helpers import catalogue, pick
+from tests.helpers import catalogue, frame, pick
 
 HEADER = "SalesChannel,marketplace_sku,asin,im_sku,region,level_1,Linnworks Title,linnwork's_sku_received_from"
 
@@ -117,3 +119,33 @@ def test_stage_tables_live_in_the_shared_folder(spark):
         assert staged.count() == 3
     fs, target = T._fs(spark, path.rsplit("/", 1)[0])
     assert not fs.exists(target)
+
+
+def _lines(path, rows):
+    head = ",".join(S.CSV_COLUMN_NAMES)
+    path.write_text("\n".join([head, *[",".join(r) for r in rows]]) + "\n")
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_positions_follow_the_files(spark, conf, tmp_path, multi_line):
+    # Values fall as lines go on; files are cut into blocks where they may be.
+    conf(spark__sql__files__maxPartitionBytes="2KB", spark__sql__files__openCostInBytes="1")
+    for f in range(3):
+        _lines(tmp_path / f"part-{f}.csv", [
+            ["S", "A", f"IM{900 - 300 * f - i:04d}", "DE", "Amazon.de", "L", "T", "m", str(300 * f + i)] for i in range(300)
+        ])
+    rows = T.read_catalogue_csv(spark, str(tmp_path), multi_line, positions=True)
+    assert multi_line or rows.rdd.getNumPartitions() > 3
+    old = catalogue(spark, [{"id": 41}])
+    done = jobs.dump(old, rows, frame(spark, S.FEED, []))
+    got = done.catalogue.where("id > 41").select("id", "comment").collect()
+    assert sorted((r.id, int(r.comment)) for r in got) == [(42 + i, i) for i in range(900)]
+    last = M.last_by_sku_region(M.column_subset(M.mapped_only(done.catalogue))).first()
+    assert last.rec.comment == "899" and last.rec.im_sku == "IM0001"
+
+
+def test_csv_rejects_keep_their_position(spark, tmp_path):
+    _lines(tmp_path / "a.csv", [["S", "A", "I", "DE", "", "", "", "", ""], ["", "A", "I", "DE", "", "", "", "", ""]])
+    rows = T.read_catalogue_csv(spark, str(tmp_path / "a.csv"), positions=True)
+    rejects = jobs.dump(catalogue(spark, []), rows, frame(spark, S.FEED, [])).rejects
+    assert [(r._position.row, r.marketplace_sku) for r in rejects.collect()] == [(1, None)]
