@@ -403,8 +403,9 @@ _RECORD = f"{KEY3}, {', '.join(VALUES)}"
 _C = ", ".join(CATALOGUE)
 _H = ", ".join(HIERARCHY)
 _CSV = "marketplace_sku, asin, im_sku, region, sales_channel, level_1, linworks_title, modified_by, comment"
-_CSV_ROWS = """select marketplace_sku, asin, nullif(im_sku, '') as im_sku, region, sales_channel, level_1,
-    linworks_title, modified_by, comment from catalogue"""
+_CSV_VALUES = """marketplace_sku, asin, nullif(im_sku, '') as im_sku, region, sales_channel, level_1,
+    linworks_title, modified_by, comment"""
+_CSV_ROWS = f"select {_CSV_VALUES} from catalogue"
 
 BODIES = {
     "feed_union": "select seller_sku, asin, region, sales_channel, purchase_date, title from projected",
@@ -460,6 +461,17 @@ BODIES = {
             {_CSV}, {NOW} as created_at, {NOW} as updated_at from ({_CSV_ROWS})) l
         left join newest n on lower(n.seller_sku) = lower(l.marketplace_sku)
           and lower(n.sales_channel) = lower(l.sales_channel)""",
+    "dump_by_line": f"""select l.* replace (
+          case when n.seller_sku is not null then strftime(n.purchase_date, '%Y-%m-%d %H:%M:%S') else l.date end as date,
+          case when n.seller_sku is not null then n.title else l.amazon_title end as amazon_title)
+        from (select {_C} from catalogue union all by name
+          select (select max(id) from catalogue) + row_number() over (order by c.id desc) as id,
+            {_CSV_VALUES}, {NOW} as created_at, {NOW} as updated_at from catalogue c) l
+        left join newest n on lower(n.seller_sku) = lower(l.marketplace_sku)
+          and lower(n.sales_channel) = lower(l.sales_channel)""",
+    "last_line_wins": """select marketplace_sku, region, arg_min({'v': im_sku}, id).v as im_sku,
+          arg_min({'v': comment}, id).v as comment
+        from catalogue where im_sku <> '' group by all""",
     "quality_metrics": """select count(*) filter (where im_sku is null) as null_im_sku,
         count(*) filter (where parent_sku is null) as null_parent_sku,
         count(*) filter (where level_1 is null) as lin_category_to_be_mapped,
@@ -480,6 +492,12 @@ BODIES = {
     "list_page": """select id, marketplace_sku, asin, im_sku, parent_sku, region, sales_channel, level_1,
         linworks_title, modified_by, created_at, updated_at from catalogue
         order by created_at desc, id desc limit 25 offset 25""",
+    "list_page_indexed": """select id, marketplace_sku, asin, im_sku, parent_sku, region, sales_channel, level_1,
+        linworks_title, modified_by, created_at, updated_at from catalogue
+        order by created_at desc, id desc limit 25 offset 150""",
+    "list_page_after": """select id, marketplace_sku, asin, im_sku, parent_sku, region, sales_channel, level_1,
+        linworks_title, modified_by, created_at, updated_at from catalogue
+        where (created_at, id) < (timestamp '2024-06-01', 900) order by created_at desc, id desc limit 25""",
     "sample_rows": f"select {_C} from catalogue where level_1 is not null order by id limit 3",
     "edited_ids": f"select {_C} from catalogue where id in (select id from edits)",
     "match_count": "select count(*) as n from catalogue where lower(im_sku) = 'im7'",

@@ -18,7 +18,7 @@ from skuflow.operators import merge as G
 from skuflow.operators import publish as P
 from skuflow.operators.joins import split_update_create
 from skuflow.plans import jobs
-from skuflow.schemas import CSV_COLUMN_NAMES, EDITS, FULL_KEY
+from skuflow.schemas import CSV_COLUMN_NAMES, EDITS, FULL_KEY, SKU_REGION
 from skuflow.session import drop_at_exit, new_path, stage
 from skuflow.sources import tables as S
 
@@ -251,6 +251,28 @@ def dump(spark, d):
     return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now()).catalogue
 
 
+def _dumped_by_line(spark, d):
+    """The catalogue loaded once more from CSV files in which it stands from the highest id down."""
+    down = F.col("id").desc()
+    lines = adapter.catalogue(spark, d).repartitionByRange(down).sortWithinPartitions(down)
+    path = new_path(spark, "catalogue-lines")
+    S.write_csv(lines.select(*[F.col(c).alias(n) for n, c in CSV_COLUMN_NAMES.items()]), path)
+    drop_at_exit(spark, path)
+    csv = S.read_catalogue_csv(spark, path, positions=True)
+    return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now()).catalogue
+
+
+@query
+def dump_by_line(spark, d):
+    return _dumped_by_line(spark, d)
+
+
+@query
+def last_line_wins(spark, d):
+    mapped = M.column_subset(M.mapped_only(_dumped_by_line(spark, d)))
+    return M.last_by_sku_region(mapped).select(*SKU_REGION, "rec.im_sku", "rec.comment")
+
+
 # Exploration.
 
 @query
@@ -294,6 +316,18 @@ def list_page(spark, d):
     return X.list_view(X.list_page(adapter.catalogue(spark, d), page=2))
 
 
+@query
+def list_page_indexed(spark, d):
+    index = X.page_index(X.list_view(adapter.catalogue(spark, d)))
+    return X.indexed_page(index, page=7)
+
+
+@query
+def list_page_after(spark, d):
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    return X.list_view(X.page_after(adapter.catalogue(spark, d), at, F.lit(900)))
+
+
 @query
 def sample_rows(spark, d):
     return X.sample_head(adapter.catalogue(spark, d), 3, ["id"])

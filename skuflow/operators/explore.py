@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions import fold_case
+from skuflow.operators.ordered import PLACE, SLICE, stage_in_order
+from skuflow.session import stage
 
 # Columns the listings show, search and filter by.
 CATALOGUE_LIST = [
@@ -111,10 +114,49 @@ def list_view(df: DataFrame, columns: Sequence[str] = tuple(CATALOGUE_LIST)) ->
     return df.select(*columns)
 
 
+def _newest_first() -> list[Column]:
+    return [F.col("created_at").desc(), F.col("id").desc()]
+
+
 def list_page(df: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """One page of a listing, newest first, ties by descending id (L4)."""
-    newest = df.orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return newest.offset((page - 1) * size).limit(size)
+    return df.orderBy(*_newest_first()).offset((page - 1) * size).limit(size)
+
+
+def page_after(df: DataFrame, created_at: Column, id_: Column, size: int = PAGE_SIZE) -> DataFrame:
+    """The rows that follow the given one in a listing (L4): as cheap for late pages as for
+    the first, since a task keeps ``size`` rows at most."""
+    at = F.col("created_at")
+    later = (at < created_at) | ((at == created_at) & (F.col("id") < id_))
+    return df.where(later).orderBy(*_newest_first()).limit(size)
+
+
+class PageIndex(NamedTuple):
+    rows: DataFrame  # in slices of the listing's order, each with its place in the slice
+    slices: DataFrame  # per slice: its rows and the rows before it
+
+
+def page_index(df: DataFrame) -> PageIndex:
+    """Put a listing in order once, so that any page can be read by itself (L4)."""
+    rows = stage_in_order(df, _newest_first(), "pages")
+    counts = rows.groupBy(SLICE).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(SLICE)) - F.col("n")  # a row for each slice
+    return PageIndex(rows, stage(counts.withColumn("before", before), "page-slices"))
+
+
+def indexed_page(index: PageIndex, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One page of an indexed listing (L4): ``list_page`` without sorting or skipping rows.
+
+    Only the slices the page touches are read, ``size`` at most; a page behind the end is empty.
+    """
+    first, end = (page - 1) * size, page * size
+    touched = index.slices.where((F.col("before") < end) & (F.col("before") + F.col("n") > first))
+    wanted = F.lit(False)
+    for s in touched.collect():
+        places = F.col(PLACE).between(first - s["before"], end - 1 - s["before"])
+        wanted = wanted | ((F.col(SLICE) == s[SLICE]) & places)
+    rows = index.rows.where(wanted).orderBy(SLICE, PLACE)
+    return rows.drop(SLICE, PLACE)
 
 
 def sample_head(df: DataFrame, n: int, order: Sequence[str], present: str = "level_1") -> DataFrame:

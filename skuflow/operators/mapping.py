@@ -12,6 +12,7 @@ from skuflow.functions import (
 from skuflow.operators.joins import dedupe_last, lookup, put
 from skuflow.operators.ordered import fill_within, stage_by_range
 from skuflow.schemas import FEED_ORDER, FULL_KEY, MAPPED_VALUES, RECORD, SKU_REGION
+from skuflow.session import stage
 
 _OVERRIDDEN = [
     "im_sku", "sales_channel", "level_1", "linworks_title", "parent_sku", "modified_by",
@@ -123,11 +124,23 @@ def enrich_from_im_sku(rows: DataFrame) -> DataFrame:
     return fill_blank(joined, "rec", ["level_1", "linworks_title"]).drop("rec")
 
 
+def _by_im_sku(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows in slices by internal SKU, and those without one, which have nothing to fill.
+
+    Ranging reads its input twice, for the bounds and for the rows: hence a stage table
+    below it, which those without a key are read from as well.
+    """
+    rows = stage(rows, "unfilled")
+    keyed = F.col("im_sku").isNotNull()
+    order = ["im_sku", *FEED_ORDER]
+    return stage_by_range(rows.where(keyed), order, "by-im-sku"), rows.where(~keyed)
+
+
 def fill_parent_by_im_sku(rows: DataFrame) -> DataFrame:
     """Strip parents, then forward- and back-fill them inside each internal SKU."""
-    stripped = rows.withColumn("parent_sku", strip(F.col("parent_sku")))
-    sliced = stage_by_range(stripped, ["im_sku", *FEED_ORDER], "by-im-sku")
-    return fill_within(sliced, "im_sku", "parent_sku", FEED_ORDER).select(*rows.columns)
+    keyed, others = _by_im_sku(rows.withColumn("parent_sku", strip(F.col("parent_sku"))))
+    filled = fill_within(keyed, "im_sku", "parent_sku", FEED_ORDER)
+    return filled.select(*rows.columns).unionByName(others)
 
 
 def enrich_and_fill(rows: DataFrame) -> DataFrame:
@@ -135,10 +148,11 @@ def enrich_and_fill(rows: DataFrame) -> DataFrame:
     stripped = rows.withColumns({
         "im_sku": strip(F.col("im_sku")), "parent_sku": strip(F.col("parent_sku")),
     })
-    sliced = stage_by_range(stripped, ["im_sku", *FEED_ORDER], "by-im-sku")
+    sliced, others = _by_im_sku(stripped)
     filled = fill_within(sliced, "im_sku", "parent_sku", FEED_ORDER)
     joined = lookup(filled, first_per_im_sku(sliced), {"im_sku": F.col("im_sku")})
-    return fill_blank(joined, "rec", ["level_1", "linworks_title"]).select(*rows.columns)
+    enriched = fill_blank(joined, "rec", ["level_1", "linworks_title"])
+    return enriched.select(*rows.columns).unionByName(others.select(*rows.columns))
 
 
 def last_by_sku_region(mapped: DataFrame) -> DataFrame:

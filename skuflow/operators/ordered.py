@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from skuflow.session import stage
 
 SLICE = "_slice"
+PLACE = "_place"
 
 
 def stage_by_range(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
@@ -27,6 +28,20 @@ def stage_by_range(df: DataFrame, order: Sequence[str], label: str) -> DataFrame
     return stage(sliced.withColumn(SLICE, F.spark_partition_id()), label)
 
 
+def stage_in_order(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
+    """Stage ``df`` in ``order`` with its slice number and ``PLACE``, its row number in it.
+
+    A slice is a folder of its own and places are in the files' statistics, so a reader that
+    asks for some places opens nothing else.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        # The low 33 bits count the rows of a partition.
+        PLACE: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
+        SLICE: F.spark_partition_id(),
+    })
+    return stage(placed, label, partition=SLICE)
+
+
 def fill_within(sliced: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """Forward-fill, then back-fill ``value`` inside each ``key`` (rows with no key stay).
 
@@ -41,11 +56,13 @@ def fill_within(sliced: DataFrame, key: str, value: str, order: Sequence[str]) -
     first_local = F.first(value, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    # A boundary between two slices cuts at most one key, so for n slices there are
-    # fewer than n cut keys and fewer than 2n (slice, key) pairs: safe to broadcast.
+    # A key that a slice bound cuts is the greatest of one slice and the least of a later
+    # one, so two keys a slice tell them all. For n slices fewer than n keys are cut, and
+    # there are fewer than 2n (slice, key) pairs of them: safe to broadcast.
+    bounds = sliced.groupBy(SLICE).agg(F.array(F.min(key), F.max(key)).alias("_bounds"))
     cut = (
-        sliced.where(F.col(key).isNotNull()).groupBy(key)
-        .agg(F.min(SLICE).alias("lo"), F.max(SLICE).alias("hi"))
+        bounds.select(SLICE, F.explode("_bounds").alias(key)).where(F.col(key).isNotNull())
+        .groupBy(key).agg(F.min(SLICE).alias("lo"), F.max(SLICE).alias("hi"))
         .where("lo < hi").select(key)
     )
     position = F.when(F.col(value).isNotNull(), F.struct(*order))

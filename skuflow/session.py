@@ -42,11 +42,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a stage table and return a scan of it."""
+def stage(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
+    """Write ``df`` to a stage table, ``partition`` by folders, and return a scan of it."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

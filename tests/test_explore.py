@@ -59,3 +59,41 @@ def test_drilldown_and_pages(table):
     assert X.list_view(table).columns == X.CATALOGUE_LIST
     assert pick(X.sample_head(table, 1, ["id"]), "id") == [(1,)]
     assert X.match_count(table, "Im1").first().n == 2
+
+
+def test_pages_of_an_index(spark, many_slices):
+    # Creation times repeat, so bounds of slices and pages fall between equal ones.
+    listed = catalogue(spark, [
+        {"id": i, "marketplace_sku": f"S{i}", "created_at": datetime(2024, 1, 1 + i * 7 % 5)} for i in range(1, 501)
+    ]).repartition(7)
+    index = X.page_index(listed)
+    assert index.slices.count() > 1
+    for page, size in ((1, 25), (2, 25), (11, 25), (20, 25), (3, 200), (1, 1000), (501, 1), (21, 25)):
+        got, want = X.indexed_page(index, page, size), X.list_page(listed, page, size)
+        assert got.columns == listed.columns
+        assert got.collect() == want.collect()
+    # Nothing but the rows' folder and place is asked of the scan, and few files answer.
+    assert len(X.indexed_page(index, 11, 5).inputFiles()) <= len(index.rows.inputFiles())
+    plan = X.indexed_page(index, 11, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_place" in plan.split("PushedFilters")[1]
+
+
+def test_pages_that_follow_a_row(spark):
+    listed = catalogue(spark, [
+        {"id": i, "created_at": datetime(2024, 1, 1 + i * 7 % 5)} for i in range(1, 101)
+    ])
+    seen, last = [], None
+    while True:
+        page = (
+            X.list_page(listed, 1, 30) if last is None
+            else X.page_after(listed, F.lit(last.created_at).cast("timestamp_ntz"), F.lit(last.id), 30)
+        ).collect()
+        if not page:
+            break
+        seen, last = seen + page, page[-1]
+    assert seen == X.list_page(listed, 1, 1000).collect() and len(seen) == 100
+
+
+def test_pages_of_nothing(spark):
+    index = X.page_index(catalogue(spark, []))
+    assert X.indexed_page(index).collect() == []
