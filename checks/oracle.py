@@ -537,6 +537,9 @@ BODIES = {
         o.created, m.message
         from edited e join filled o on o.id = e.id join messages m on m.edit_seq = o.edit_seq""",
     "edits_applied": f"select {_C} from edited",
+    "edit_changes": f"select {_C} from edited except select {_C} from catalogue",
+    "edit_changes_staging": f"select {', '.join(STAGING)} from restaged where id in (select id from filled)",
+    "edit_changes_hierarchy": "select key as im_sku, value as parent_sku from keyed_im_exact where key is not null",
 }
 
 

@@ -453,6 +453,27 @@ def edits_applied(spark, d):
     return _edited(spark, d).catalogue
 
 
+def _edit_changes(spark, d):
+    return E.edit_changes(
+        adapter.catalogue(spark, d), adapter.staged_before(spark, d), adapter.edits(spark, d), _now(),
+    )
+
+
+@query
+def edit_changes(spark, d):
+    return _edit_changes(spark, d).catalogue
+
+
+@query
+def edit_changes_staging(spark, d):
+    return _edit_changes(spark, d).staging
+
+
+@query
+def edit_changes_hierarchy(spark, d):
+    return _edit_changes(spark, d).hierarchy
+
+
 @query
 def edit_responses(spark, d):
     done = _edited(spark, d)

@@ -115,6 +115,13 @@ def edits_by_im_sku(valid: DataFrame) -> DataFrame:
     return _by_key(valid, _im_key(), "parent_sku", edit_strip(F.col("parent_sku")))
 
 
+def _edits_by_exact_im_sku(valid: DataFrame) -> DataFrame:
+    value = strip(F.col("im_sku"))
+    return _by_key(
+        valid, F.when(value != "", value), "parent_sku", edit_strip(F.col("parent_sku"))
+    )
+
+
 def edits_by_asin(valid: DataFrame) -> DataFrame:
     return _by_key(valid, F.col("asin"), "im_sku", F.col("im_sku"))
 
@@ -140,11 +147,7 @@ def propagate_parent(table: DataFrame, valid: DataFrame, exact: bool = False) ->
     if not exact:
         keyed = edits_by_im_sku(valid)
         return _spread(table, keyed, fold_case(F.col("im_sku")), "parent_sku", False)
-    value = strip(F.col("im_sku"))
-    keyed = _by_key(
-        valid, F.when(value != "", value), "parent_sku", edit_strip(F.col("parent_sku"))
-    )
-    return _spread(table, keyed, F.col("im_sku"), "parent_sku", False)
+    return _spread(table, _edits_by_exact_im_sku(valid), F.col("im_sku"), "parent_sku", False)
 
 
 def propagate_attribution_by_im_sku(catalogue: DataFrame, valid: DataFrame) -> DataFrame:
@@ -191,6 +194,11 @@ def fill_from_reference(objects: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def stage_edits(staging: DataFrame, objects: DataFrame, now: Column) -> DataFrame:
     """Staging with the edited rows set for publishing."""
+    return untouched(staging, objects).unionByName(staged_rows(staging, objects, now))
+
+
+def staged_rows(staging: DataFrame, objects: DataFrame, now: Column) -> DataFrame:
+    """The edited rows as they are staged for publishing."""
     values = {
         "marketplace": canonical_channel(F.col("sales_channel")),
         "company": company_for_region(F.col("region")),
@@ -222,7 +230,7 @@ def stage_edits(staging: DataFrame, objects: DataFrame, now: Column) -> DataFram
         else:
             value = F.col(f"old.{c}")
         columns.append(value.cast(f.dataType).alias(c))
-    return untouched(staging, objects).unionByName(joined.select(*columns))
+    return joined.select(*columns)
 
 
 def edit_responses(
@@ -282,13 +290,16 @@ def _spread_to(rows: DataFrame, pos: Column) -> DataFrame:
     out = put(out, parent.isNotNull(), {"parent_sku": parent["parent"]})
     return out.withColumns({
         a: F.coalesce(newest(c)["name"], F.col(a)) for a, c in H.FOUND.items()
-    }).select(*CATALOGUE.names)
+    })
 
 
-def _edited_catalogue(catalogue: DataFrame, objects: DataFrame, history: DataFrame, ends: DataFrame) -> DataFrame:
+def _edited_catalogue(
+    catalogue: DataFrame, objects: DataFrame, history: DataFrame, ends: DataFrame, changes: bool = False,
+) -> DataFrame:
     """All rows after all edits: edited ones, and others as their ASIN and internal SKU say.
 
     The catalogue meets only what is as large as the batch: ids, ASINs and internal SKUs.
+    With ``changes``, others that stay as they are are left out.
     """
     by_asin = {"asin": F.col("asin")}
     others = untouched(catalogue, objects)
@@ -303,19 +314,24 @@ def _edited_catalogue(catalogue: DataFrame, objects: DataFrame, history: DataFra
     others = lookup(others, ends, by_asin)
     others = lookup(others, lone.select("id", F.struct(*H.TAKEN).alias("lone")), {"id": F.col("id")}, "lone", hot=False)
     edited = lookup(objects, ends, by_asin).withColumn("lone", F.lit(None).cast(others.schema["lone"].dataType))
-    return _spread_to(others, F.lit(0)).unionByName(_spread_to(edited, F.col("pos")))
+    spread = F.struct("im_sku", "parent_sku", *ATTRIBUTIONS)
+    others = _spread_to(others.withColumn("_was", spread), F.lit(0))
+    if changes:
+        others = others.where(~spread.eqNullSafe(F.col("_was")))
+    edited = _spread_to(edited, F.col("pos"))
+    return others.select(*CATALOGUE.names).unionByName(edited.select(*CATALOGUE.names))
 
 
-def apply_edits(
-    catalogue: DataFrame, staging: DataFrame, hierarchy: DataFrame, edits: DataFrame,
-    now: Column | None = None,
-) -> Edited:
-    """New versions of the three tables, a line per edit, rejects, and the edited rows.
+class _Batch(NamedTuple):
+    checked: DataFrame
+    valid: DataFrame
+    history: DataFrame
+    ends: DataFrame
+    objects: DataFrame
 
-    The result is that of applying the edits one by one in the order of ``edit_seq``, so it
-    does not depend on how a run of edits is cut into batches.
-    """
-    now = utc_now() if now is None else now
+
+def _batch(catalogue: DataFrame, staging: DataFrame, edits: DataFrame, now: Column) -> _Batch:
+    """What the edits do, staged: all of it is as large as the batch."""
     checked = stage(H.check_edits(edits, staging), "checked-edits")
     valid = checked.where(F.col("reason").isNull()).select(*EDITS.names, "pos")
     few = valid.count() <= H.FEW
@@ -325,11 +341,56 @@ def apply_edits(
     fills = H.filled(history, catalogue, ends, few)
     names = H.names_before_the_end(history, catalogue, events, ends, few)
     objects = stage(_objects_of(history, catalogue, fills, names, now), "edited")
+    return _Batch(checked, valid, history, ends, objects)
+
+
+def apply_edits(
+    catalogue: DataFrame, staging: DataFrame, hierarchy: DataFrame, edits: DataFrame,
+    now: Column | None = None,
+) -> Edited:
+    """New versions of the three tables, a line per edit, rejects, and the edited rows.
+
+    The result is that of applying the edits one by one in the order of ``edit_seq``, so it
+    does not depend on how a run of edits is cut into batches.
+    """
+    now = utc_now() if now is None else now
+    b = _batch(catalogue, staging, edits, now)
     return Edited(
-        catalogue=_edited_catalogue(catalogue, objects, history, ends),
-        staging=stage_edits(staging, objects, now),
-        hierarchy=propagate_parent(hierarchy, valid, exact=True),
-        summary=H.summary(history, catalogue),
-        rejects=checked.where(F.col("reason").isNotNull()),
-        objects=objects,
+        catalogue=_edited_catalogue(catalogue, b.objects, b.history, b.ends),
+        staging=stage_edits(staging, b.objects, now),
+        hierarchy=propagate_parent(hierarchy, b.valid, exact=True),
+        summary=H.summary(b.history, catalogue),
+        rejects=b.checked.where(F.col("reason").isNotNull()),
+        objects=b.objects,
+    )
+
+
+class Changes(NamedTuple):
+    """What a batch changes, for stores that can update rows in place."""
+    catalogue: DataFrame  # whole rows, to be put in by id
+    staging: DataFrame  # whole rows, to be put in by id
+    hierarchy: DataFrame  # ``im_sku`` and the ``parent_sku`` that all rows with it take
+    summary: DataFrame
+    rejects: DataFrame
+
+
+def edit_changes(
+    catalogue: DataFrame, staging: DataFrame, edits: DataFrame, now: Column | None = None,
+) -> Changes:
+    """What ``apply_edits`` changes: edited rows, and others only where a value differs.
+
+    The catalogue is read, but only rows that share an id, ASIN or internal SKU with the batch
+    leave the scan; the hierarchy is not even read. All results are staged, so the tables may
+    be written while these are read.
+    """
+    now = utc_now() if now is None else now
+    b = _batch(catalogue, staging, edits, now)
+    parents = _edits_by_exact_im_sku(b.valid).select(F.col("key").alias("im_sku"), "rec.parent_sku")
+    parts = Changes(
+        catalogue=_edited_catalogue(catalogue, b.objects, b.history, b.ends, changes=True),
+        staging=staged_rows(staging, b.objects, now),
+        hierarchy=parents,
+        summary=H.summary(b.history, catalogue),
+        rejects=b.checked.where(F.col("reason").isNotNull()),
     )
+    return Changes(*[stage(df, f"changed-{name}") for name, df in parts._asdict().items()])
