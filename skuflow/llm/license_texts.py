@@ -75,6 +75,25 @@ TEXTS = {
     "being the original software.\n3. This notice may not be removed or altered from any source "
     "distribution.",
 }
+TEXTS["Unlicense"] = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to "
+    "copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+    "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+    "means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this "
+    "software dedicate any and all copyright interest in the software to the public domain. We make "
+    "this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+    "present and future rights to this software under copyright law.\n\n"
+    + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+    + "\n\nFor more information, please refer to <https://unlicense.org>"
+)
+# Titles in front of licence texts, in canonical form.
+TITLES = [
+    "mit license", "the mit license", "the mit license mit", "mit no attribution", "isc license",
+    "the isc license", "bsd zero clause license", "zero clause bsd", "bsd 2 clause license",
+    "bsd 3 clause license", "simplified bsd license", "modified bsd license", "zlib license",
+    "the zlib license", "the unlicense", "unlicense",
+]
 # Notices.
 NOTICES = {
     "Released under the MIT License.": "MIT",

@@ -5,16 +5,19 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from skuflow.llm import (
     components, document_prints, licenses, line_quality, near_dedup, quality_rules, sharding, toxicity,
 )
+from skuflow.llm.license_texts import SPELLINGS, TITLES
 from skuflow.llm.license_texts import TEXTS as LICENSES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,6 +192,66 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+def _wrapped(text, width, leader=""):
+    lines = [line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""]]
+    return "\n".join(f"{leader}{line}" for line in lines)
+
+
+def test_licenses_in_other_forms(spark):
+    mit, bsd = LICENSES["MIT"], LICENSES["BSD-3-Clause"]
+    body = mit.split("\n\n", 1)[1]
+    head = "Copyright (c) 2019-2021, A. Holder <a@b.c>\nAll rights reserved.\n\n"
+    texts = [mit, body, f"The MIT License (MIT)\n\n{head}{body}", *[_wrapped(mit, n) for n in range(20, 90)],
+             _wrapped(head + body, 60, " * "), f"/*\n{_wrapped(body, 70, '// ')}\n*/"]
+    other = [bsd, *[_wrapped(bsd, n, "# ") for n in range(20, 90)], f"BSD 3-Clause License\n\n(c) 2020 X\n{bsd}"]
+    none = [body[:-30], "copyright notice " + body, "MIT License", mit * 2, "x " * 200_000 + body]
+    rows = list(enumerate([*texts, *other, *none]))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"]: r["license"] for r in got.collect()}
+    want = ["MIT"] * len(texts) + ["BSD-3-Clause"] * len(other) + [None] * len(none)
+    assert [found[i] for i in range(len(rows))] == want
+
+
+def test_licenses_of_equal_form_and_notices_of_any_words(spark):
+    known = {"B": "One, two licence.", "A": "one two LICENSE", "C": "MIT License\none two license", "D": "!"}
+    rows = [(1, "One two licence"), (1, "One two licence"), (2, "x\n -- In the public domain.\ny"), (3, "!")]
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, license string, _lines int")
+    got = licenses.scan(docs, known, {"In the public domain.": "PD", "...": "no"}).collect()
+    assert sorted((r["doc_id"], r["license"] or "", r["notices"], r["n_notices"]) for r in got) == [
+        (1, "A", "", 0), (1, "A", "", 0), (2, "", "PD", 1), (3, "", "", 0)
+    ]
+    assert licenses.scan(docs, known, {}).where("n_notices = 0").count() == 4
+
+
+def _canonical(text, title):
+    """The canonical form word by word."""
+    kept = []
+    for line in text.lower().split("\n"):
+        front = re.sub(r"^(?:[^\w(©]|_)*", "", line)  # signs in front do not count
+        year = r"[\[<{]?((19|20)\d\d|year|yyyy)"
+        stated = (
+            re.match(rf"copyright\s*(\(c\)|©|{year})", front) or re.match(rf"\(c\)\s*(copyright|{year})", front)
+            or front.startswith("©") or re.fullmatch(r"all rights reserved[\W_]*", front)
+        )
+        if not stated:
+            kept += re.findall(r"[^\W_]+", line)
+    words = [w for word in kept for w in SPELLINGS.get(word, word).split()]
+    form = " ".join(words)
+    titles = [t for t in TITLES if form.startswith(t + " ")]
+    return form[len(max(titles, key=len)) + 1:] if title and titles else form
+
+
+def test_canonical_forms_equal_word_by_word(spark):
+    rng = random.Random(5)
+    bits = ["licence", "Licences", "Copyright", "(c)", "©", "2020", "holder", "All rights reserved", ".", "\n", "\n", " * ",
+            "noncommercial", "MIT License", "The", "favour", "--", "# ", "[year]", "Zlib license"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    form = licenses.canonical(licenses.canonical_lines(F.col("text")))
+    for r in df.select("text", form.alias("form"), licenses.untitled(form).alias("untitled")).collect():
+        assert (r["form"], r["untitled"]) == (_canonical(r["text"], False), _canonical(r["text"], True)), r["text"]
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     scores, moves = rng.normal(size=5), rng.normal(size=(2, 2))
