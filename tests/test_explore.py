@@ -97,3 +97,64 @@ def test_pages_that_follow_a_row(spark):
 def test_pages_of_nothing(spark):
     index = X.page_index(catalogue(spark, []))
     assert X.indexed_page(index).collect() == []
+
+
+def test_exact_counts_copy_no_rows(table):
+    plan = X.quality_metrics(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_sketches_add_up(spark):
+    rows = [
+        {"id": i, "im_sku": f"IM{i % 90}" if i % 4 else None, "marketplace_sku": f"S{i}",
+         "region": "DE" if i % 3 else "IT", "level_1": None if i % 5 else "L"}
+        for i in range(2000)
+    ]
+    whole = X.quality_metrics(catalogue(spark, rows)).first().asDict()
+    old, new = (X.metric_sketches(catalogue(spark, part), ["region"]) for part in (rows[:700], rows[700:]))
+    stored = old.unionByName(new)
+    got = X.sketched_metrics(stored).first().asDict()
+    for name, value in whole.items():
+        assert got[name] == pytest.approx(value, rel=0.05), name
+    by_region = X.sketched_metrics(stored, ["region"])
+    assert pick(by_region, "region", "null_im_sku") == [("DE", 333), ("IT", 167)]
+    nothing = X.sketched_metrics(X.metric_sketches(catalogue(spark, []), ["region"])).first()
+    assert set(nothing.asDict().values()) == {0}
+
+
+SEARCHES = [
+    "a", "9", "s1", "S12", "amazon", "amazon.d", "de s3", '"gym mats"', "ats g", "50%_x", "%", "ßa", "x y z",
+    "nothing", "s123 s12", "", "\u00e4", "İ",
+]
+
+
+def test_index_finds_what_the_scan_finds(spark, many_slices):
+    texts = ["Gym Mats", "mats gym", "50%_X", None, "", "ÄPFEL", "ßa", "aaaa", "İzmir", "x"]
+    table = catalogue(spark, [
+        {"id": i, "marketplace_sku": f"S{i % 150}", "level_1": texts[i % 10], "region": ["DE", "IT"][i % 2],
+         "sales_channel": "Amazon.de" if i % 3 else None}
+        for i in range(300)
+    ])
+    index = X.search_index(table, X.CATALOGUE_SEARCH)
+    for text in SEARCHES:
+        got, want = X.indexed_search(index, text), X.search(table, text, X.CATALOGUE_SEARCH)
+        assert got.columns == want.columns
+        assert pick(got, "id") == pick(want, "id"), text
+
+
+def test_index_of_rows_with_one_key(spark):
+    table = catalogue(spark, [{"id": 1, "level_1": "mat"}, {"id": 1, "level_1": "bar"}, {"id": None, "level_1": "mat"}])
+    index = X.search_index(table, ["level_1"])
+    assert pick(X.indexed_search(index, "mat"), "id") == [(None,), (1,)]
+    empty = X.search_index(catalogue(spark, []), ["level_1"])
+    assert X.indexed_search(empty, "mat").count() == 0
+
+
+def test_indexed_search_prunes(spark, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+    table = catalogue(spark, [{"id": i, "marketplace_sku": f"S{i:04d}"} for i in range(800)])
+    found = X.indexed_search(X.search_index(table, ["marketplace_sku"]), "s0007")
+    assert pick(found, "id") == [(7,)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert "PushedFilters: [Or(" in plan or "PushedFilters: [In(_gram" in plan
