@@ -249,6 +249,8 @@ CTES = {
     "actions": f"""select *, case
           when {_blank('marketplace_sku')} or {_blank('region')} or {_blank('asin')} then 'skip'
           when {_blank('im_sku')} then 'unmap' else 'upsert' end as action from last_staged""",
+    "narrow_actions": """select * replace (case when action = 'upsert' and length(parent_sku) > 2 then 'fail'
+          else action end as action) from actions""",
     "upserts": f"""select * replace (coalesce(
           last_value(case when not ({_blank('parent_sku')}) then parent_sku end ignore nulls)
             over (partition by im_sku order by marketplace_sku, region
@@ -384,6 +386,13 @@ CTES = {
 }
 
 
+def _search(table: str, columns: str, searched: list[str], words: list[str]) -> str:
+    return f"select {columns} from {table} where " + " and ".join(
+        "(" + " or ".join(f"coalesce(contains(lower({c}), '{w}'), false)" for c in searched) + ")"
+        for w in words
+    )
+
+
 def _sql(body: str) -> str:
     """Prefix ``body`` with the CTEs it reaches, in their order above."""
     needed: set[str] = set()
@@ -407,6 +416,11 @@ _CSV_VALUES = """marketplace_sku, asin, nullif(im_sku, '') as im_sku, region, sa
     linworks_title, modified_by, comment"""
 _CSV_ROWS = f"select {_CSV_VALUES} from catalogue"
 
+_STAGED_LIST = """id, marketplace_sku, asin, im_sku, region, marketplace, level_1, level_2, level_3, level_4, level_5,
+    parent_sku, marketplace_sales_table, channel, company, created_at, updated_at"""
+_STAGED_SEARCH = ["marketplace_sku", "asin", "im_sku", "parent_sku", "region", "marketplace", "company"]
+
+
 BODIES = {
     "feed_union": "select seller_sku, asin, region, sales_channel, purchase_date, title from projected",
     "feed_union_distinct": """select distinct seller_sku, asin, region, sales_channel from feed
@@ -415,6 +429,10 @@ BODIES = {
     "feed_distinct_sellers": "select distinct seller_sku, asin, region, sales_channel from clean",
     "feed_latest_title": "select * from newest",
     "feed_latest": "select * from sellers",
+    "feed_of_regions": """select * from clean where region in (
+        select region from hierarchy where marketplace_sku = 'SKU7')""",
+    "feed_export": """select seller_sku as "SellerSKU", asin as "ASIN", region as "Region",
+        sales_channel as "SalesChannel", strftime(date, '%Y-%m-%d %H:%M:%S') as "Date", title as "Title" from sellers""",
     "catalogue_mapped": f"select id, {_RECORD} from mapped_catalogue",
     "dedupe_last_mapping": f"select {_RECORD} from by_full_key",
     "map_full_key": "select * from mapped",
@@ -437,6 +455,9 @@ BODIES = {
     "split_update": f"select r.* from final r where exists (select 1 from catalogue c where c.marketplace_sku = r.marketplace_sku and c.asin = r.asin and c.region = r.region)",
     "split_create": f"select r.* from final r where not exists (select 1 from catalogue c where c.marketplace_sku = r.marketplace_sku and c.asin = r.asin and c.region = r.region)",
     "merge_catalogue": f"select {_C} from merged",
+    "merge_bucketed": f"select {_C} from merged",
+    "merge_rejects": f"""select distinct marketplace_sku, asin, {_STRING} as region from final
+        where right(asin, 1) = '7'""",
     "merge_summary": f"""select count(id) as update_count, count(*) filter (where id is null) as create_count,
         cast(0 as bigint) as reject_count,
         count(*) filter (where id is not null and {_blank('before')}) as level_1_null_before,
@@ -461,6 +482,7 @@ BODIES = {
             {_CSV}, {NOW} as created_at, {NOW} as updated_at from ({_CSV_ROWS})) l
         left join newest n on lower(n.seller_sku) = lower(l.marketplace_sku)
           and lower(n.sales_channel) = lower(l.sales_channel)""",
+    "dump_rejects": f"select {_CSV_VALUES} from (select * replace (null as asin) from catalogue where id % 11 = 0)",
     "dump_by_line": f"""select l.* replace (
           case when n.seller_sku is not null then strftime(n.purchase_date, '%Y-%m-%d %H:%M:%S') else l.date end as date,
           case when n.seller_sku is not null then n.title else l.amazon_title end as amazon_title)
@@ -483,6 +505,21 @@ BODIES = {
             f"coalesce(contains(lower({c}), '{w}'), false)" for c in (
                 "marketplace_sku", "asin", "im_sku", "region", "parent_sku", "sales_channel", "level_1"))
         + ")" for w in ("m-sku1", "amazon.co")),
+    "search_indexed": _search("catalogue", _C, [
+        "marketplace_sku", "asin", "im_sku", "region", "parent_sku", "sales_channel", "level_1"], ["sku1", "uk", "5"]),
+    "metrics_of_sketches": """select count(*) filter (where im_sku is null) as null_im_sku,
+        count(*) filter (where parent_sku is null) as null_parent_sku,
+        count(*) filter (where level_1 is null) as lin_category_to_be_mapped,
+        count(*) filter (where linworks_title is null) as lin_title_to_be_mapped,
+        true as unique_im_sku, true as unique_marketplace_sku, true as unique_parent_sku, true as unique_regions
+        from catalogue""",
+    "staging_page": f"select {_STAGED_LIST} from staging order by created_at desc, id desc limit 25 offset 50",
+    "staging_page_indexed": f"select {_STAGED_LIST} from staging order by created_at desc, id desc limit 25 offset 1000",
+    "staging_search": _search("staging", _STAGED_LIST, _STAGED_SEARCH, ["sku1", "im3", "uk"]),
+    "staging_search_indexed": _search("staging", _STAGED_LIST, _STAGED_SEARCH, ["sku1", "im3", "uk"]),
+    "staging_facets": " union all ".join(
+        f"select '{c}' as facet, {c} as value, count(*) as n from staging group by {c}"
+        for c in ("region", "marketplace", "channel", "company")),
     "facet_region": "select region as value, count(*) as n from catalogue group by 1",
     "facet_channel": "select sales_channel as value, count(*) as n from catalogue group by 1",
     "facet_filtered": f"select {_C} from catalogue where region = 'DE' and sales_channel = 'Amazon.it'",
@@ -510,6 +547,28 @@ BODIES = {
     "publish_summary": """select count(*) filter (where action in ('upsert', 'unmap')) as rows_upserted_or_unmapped,
         count(*) filter (where action = 'skip') as rows_skipped_due_to_missing_fields,
         count(*) filter (where action = 'fail') as rows_failed_upsert from actions""",
+    "publish_summary_widths": """select count(*) filter (where action in ('upsert', 'unmap')) as rows_upserted_or_unmapped,
+        count(*) filter (where action = 'skip') as rows_skipped_due_to_missing_fields,
+        count(*) filter (where action = 'fail') as rows_failed_upsert from narrow_actions""",
+    "staging_remaining_widths": f"""select {', '.join(STAGING)} from staging s where not exists (
+        select 1 from narrow_actions a where a.action not in ('skip', 'fail')
+        and a.marketplace_sku = s.marketplace_sku and a.region = s.region)""",
+    "hierarchy_published_widths": f"""select {_H} from (
+          select h.* replace (coalesce(p.parent_sku, h.parent_sku) as parent_sku)
+          from hierarchy h left join (select im_sku, arg_max(parent_sku, (marketplace_sku, region)) as parent_sku
+            from narrow_actions where action = 'upsert' and not ({_blank('parent_sku')}) group by im_sku) p
+            on p.im_sku = h.im_sku) h
+        where not exists (select 1 from narrow_actions a where a.action in ('upsert', 'unmap')
+          and a.marketplace_sku = h.marketplace_sku and a.region = h.region)
+        union all select {_H} from (select * replace (coalesce(
+            last_value(case when not ({_blank('parent_sku')}) then parent_sku end ignore nulls)
+              over (partition by im_sku order by marketplace_sku, region
+                rows between 1 following and unbounded following), parent_sku) as parent_sku)
+          from narrow_actions where action = 'upsert')""",
+    "hierarchy_published_defaults": f"""select {_H} from reparented h where not exists (select 1 from actions a
+        where a.action <> 'skip' and a.marketplace_sku = h.marketplace_sku and a.region = h.region)
+        union all select {_H} from (select * replace ('RDX' as company, 'Amazon' as channel,
+          'stg_tr_amazon_raw' as marketplace_sales_table) from upserts)""",
     "hierarchy_unmap": f"""select {_H} from hierarchy h where not exists (select 1 from actions a
         where a.action = 'unmap' and a.marketplace_sku = h.marketplace_sku and a.region = h.region)""",
     "hierarchy_upsert": f"""select {_H} from hierarchy h where not exists (select 1 from actions a

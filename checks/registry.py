@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,24 @@ def feed_latest(spark, d):
     return D.feed_latest(adapter.feed(spark, d))
 
 
+@query
+def feed_of_regions(spark, d):
+    """The feed of the regions that sell one product."""
+    path = new_path(spark, "feed")
+    S.write_feed(adapter.feed(spark, d), path)
+    drop_at_exit(spark, path)
+    selling = adapter.hierarchy(spark, d).where("marketplace_sku = 'SKU7'")
+    return D.clean_feed(S.read_feed(spark, path, selling))
+
+
+@query
+def feed_export(spark, d):
+    path = new_path(spark, "export")
+    jobs.export_feed(adapter.feed(spark, d), path)
+    drop_at_exit(spark, path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 # Mapping.
 
 @query
@@ -213,6 +232,26 @@ def merge_catalogue(spark, d):
     return jobs.new_mapping(adapter.feed(spark, d), adapter.catalogue(spark, d), _now()).catalogue
 
 
+@query
+def merge_bucketed(spark, d):
+    """The merge into a catalogue that lies in buckets of its full key."""
+    path = new_path(spark, "bucketed")
+    drop_at_exit(spark, path)
+    held = S.write_bucketed(
+        adapter.catalogue(spark, d), path.rsplit("/", 1)[1].replace("-", "_"), path, FULL_KEY,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+    return jobs.new_mapping(adapter.feed(spark, d), held, _now(), bucketed=True).catalogue
+
+
+@query
+def merge_rejects(spark, d):
+    """Keys that the catalogue cannot store: some sellers lack a region here."""
+    region = F.when(~F.col("asin").endswith("7"), F.col("region"))
+    rows = _final(spark, d).withColumn("region", region)
+    return G.merge_catalogue(adapter.catalogue(spark, d), rows, _now()).rejects.select(*FULL_KEY)
+
+
 @query
 def merge_summary(spark, d):
     return G.merge_summary(_candidates(spark, d))
@@ -251,6 +290,18 @@ def dump(spark, d):
     return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now()).catalogue
 
 
+@query
+def dump_rejects(spark, d):
+    """CSV rows that cannot be loaded: some lack an ASIN here."""
+    asin = F.when(F.col("id") % 11 != 0, F.col("asin"))
+    lines = adapter.catalogue(spark, d).withColumn("asin", asin)
+    path = new_path(spark, "catalogue-gaps")
+    S.write_csv(lines.select(*[F.col(c).alias(n) for n, c in CSV_COLUMN_NAMES.items()]), path)
+    drop_at_exit(spark, path)
+    csv = S.read_catalogue_csv(spark, path)
+    return jobs.dump(adapter.catalogue(spark, d), csv, adapter.feed(spark, d), _now()).rejects
+
+
 def _dumped_by_line(spark, d):
     """The catalogue loaded once more from CSV files in which it stands from the highest id down."""
     down = F.col("id").desc()
@@ -285,6 +336,26 @@ def search_catalogue(spark, d):
     return X.search(adapter.catalogue(spark, d), "M-SKU1 amazon.CO", X.CATALOGUE_SEARCH)
 
 
+@query
+def search_indexed(spark, d):
+    index = X.search_index(adapter.catalogue(spark, d), X.CATALOGUE_SEARCH)
+    return X.indexed_search(index, "sku1 uk 5")
+
+
+@query
+def metrics_of_sketches(spark, d):
+    """Sketches of each region, merged; the estimates as whether they are within 5 %."""
+    catalogue = adapter.catalogue(spark, d)
+    exact = X.quality_metrics(catalogue)
+
+    def close(c):
+        want = exact.select(c).scalar()
+        return (F.abs(F.col(c) - want) <= 0.05 * want).alias(c)
+
+    sketched = X.sketched_metrics(X.metric_sketches(catalogue, ["region"]))
+    return sketched.select(*[close(c) if c.startswith("unique_") else c for c in sketched.columns])
+
+
 @query
 def facet_region(spark, d):
     return X.facet_counts(adapter.catalogue(spark, d), "region")
@@ -348,6 +419,36 @@ def json_rows(spark, d):
     return S.dashboard_rows(adapter.catalogue(spark, d))
 
 
+@query
+def staging_page(spark, d):
+    return X.list_view(X.list_page(adapter.staging(spark, d), page=3), X.STAGING_LIST)
+
+
+@query
+def staging_page_indexed(spark, d):
+    index = X.page_index(X.list_view(adapter.staging(spark, d), X.STAGING_LIST))
+    return X.indexed_page(index, page=41)
+
+
+@query
+def staging_search(spark, d):
+    found = X.search(adapter.staging(spark, d), "sku1 im3 uk", X.STAGING_SEARCH)
+    return X.list_view(found, X.STAGING_LIST)
+
+
+@query
+def staging_search_indexed(spark, d):
+    index = X.search_index(adapter.staging(spark, d), X.STAGING_SEARCH)
+    return X.list_view(X.indexed_search(index, "sku1 im3 uk"), X.STAGING_LIST)
+
+
+@query
+def staging_facets(spark, d):
+    staged = adapter.staging(spark, d)
+    counts = [X.facet_counts(staged, c).select(F.lit(c).alias("facet"), "*") for c in X.STAGING_FACETS]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # Publish.
 
 @query
@@ -365,6 +466,36 @@ def publish_summary(spark, d):
     return P.publish_summary(_staged(spark, d))
 
 
+# The target table of these holds parents of two letters at most.
+_WIDTHS = {"parent_sku": 2}
+
+
+def _published_narrow(spark, d):
+    return P.publish(adapter.staging(spark, d), adapter.hierarchy(spark, d), _WIDTHS)
+
+
+@query
+def publish_summary_widths(spark, d):
+    return _published_narrow(spark, d).summary
+
+
+@query
+def staging_remaining_widths(spark, d):
+    return _published_narrow(spark, d).staging
+
+
+@query
+def hierarchy_published_widths(spark, d):
+    return _published_narrow(spark, d).hierarchy
+
+
+@query
+def hierarchy_published_defaults(spark, d):
+    """A staging table without the three columns that have defaults."""
+    staged = adapter.staging(spark, d).drop("company", "channel", "marketplace_sales_table")
+    return P.publish(staged, adapter.hierarchy(spark, d)).hierarchy
+
+
 @query
 def hierarchy_unmap(spark, d):
     return P.unmap(adapter.hierarchy(spark, d), _staged(spark, d))

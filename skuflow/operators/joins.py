@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dedupe_last(
@@ -21,9 +22,37 @@ def dedupe_last(
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias(rec))
 
 
+#: Bytes of values up to which ``fits`` lets a side be sent to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of ``df`` take at most ``limit`` bytes: measured by a pass over it.
+
+    For batches against large tables. Estimates do not tell, as those of joins and aggregates
+    are far too high, and adaptive execution learns the size only once both sides are shuffled.
+    """
+    def width(f: T.StructField, c: Column) -> Column:
+        if isinstance(f.dataType, T.StructType):
+            return sum((width(g, c[g.name]) for g in f.dataType), F.lit(8))
+        return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) + 8
+
+    row = sum((width(f, F.col(f"`{f.name}`")) for f in df.schema), F.lit(0))
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= limit
+
+
+def among(large: DataFrame, keys: DataFrame, on: Sequence[str], keep: bool = True) -> DataFrame:
+    """Rows of ``large`` whose ``on`` is among ``keys``, or is not: no shuffle of ``large``
+    where the keys fit, else a shuffle join that adaptive execution may split."""
+    distinct = keys.select(*on).distinct()
+    if fits(distinct):
+        distinct = F.broadcast(distinct)
+    return large.join(distinct, list(on), "left_semi" if keep else "left_anti")
+
+
 def lookup(
     left: DataFrame, right: DataFrame, on: Mapping[str, Column], rec: str = "rec",
-    hot: bool = True,
+    hot: bool = True, small: bool = False,
 ) -> DataFrame:
     """Left join adding the struct column ``rec``; null means no hit.
 
@@ -36,10 +65,14 @@ def lookup(
     aggregate already partitioned by the key. With ``hot`` the key's length joins the
     condition, which is implied by equality and makes Spark shuffle ``right`` again, as
     narrow as it is, so that the hot partition can be split.
+
+    ``small`` says that ``right`` was measured (``fits``): it is broadcast, ``left`` not moved.
     """
     renamed = right.select(
         *[F.col(k).alias(f"_key_{k}") for k in on], F.col(rec)
     )
+    if small:
+        renamed, hot = F.broadcast(renamed), False
     terms = [expr == F.col(f"_key_{k}") for k, expr in on.items()]
     if hot:
         first, expr = next(iter(on.items()))

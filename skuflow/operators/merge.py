@@ -91,13 +91,24 @@ class Merge(NamedTuple):
 
 
 def merge_catalogue(
-    catalogue: DataFrame, mapped: DataFrame, now: Column | None = None
+    catalogue: DataFrame, mapped: DataFrame, now: Column | None = None, bucketed: bool = False,
 ) -> Merge:
-    """New catalogue version, merge summary and rejected rows."""
+    """New catalogue version, merge summary and rejected rows.
+
+    ``bucketed``: the catalogue is a table bucketed by the full key (``write_bucketed``). It is
+    then updated by that key where it lies, and no row of it is shuffled. Otherwise it is
+    updated by id, which moves each row once and has no hot key.
+    """
     candidates = stage(merge_candidates(mapped, catalogue), "merge")
     updates = candidates.where(F.col("id").isNotNull())
     rest = candidates.where(F.col("id").isNull()).select(*RECORD)
-    updated = bulk_update(catalogue, updates, "id", MAPPED_VALUES)
+    if bucketed:
+        new = updates.select(*FULL_KEY, F.struct("id", *MAPPED_VALUES).alias("_upd"))
+        joined = lookup(catalogue, new, {k: F.col(k) for k in FULL_KEY}, "_upd", hot=False)
+        hit = F.col("_upd.id") == F.col("id")
+        updated = put(joined, hit, {c: F.col(f"_upd.{c}") for c in MAPPED_VALUES}).drop("_upd")
+    else:
+        updated = bulk_update(catalogue, updates, "id", MAPPED_VALUES)
     merged = append_rows(
         updated.select(*CATALOGUE.names), rest.where(has_full_key()), FULL_KEY, now,
         next_id_after(catalogue),

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.functions import is_blank
-from skuflow.operators.joins import lookup, put
-from skuflow.schemas import HIERARCHY, SKU_REGION, STAGING
+from skuflow.operators.joins import among, fits, lookup, put
+from skuflow.schemas import HIERARCHY, SKU_REGION, STAGING, STAGING_DEFAULTS
 from skuflow.session import stage
+from skuflow.sources.tables import conform
 
 _VALUES = [c for c in HIERARCHY.names if c not in SKU_REGION]
 _Widths = Mapping[str, int]  # column: longest value
@@ -59,8 +60,12 @@ def with_action(last: DataFrame, widths: _Widths | None = None) -> DataFrame:
 
 
 def publish_actions(staged: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Action per key, whether the hierarchy holds it, and staged rows behind it."""
-    keys = hierarchy.groupBy(*SKU_REGION).agg(F.count("*").alias("held"))
+    """Action per key, whether the hierarchy holds it, and staged rows behind it.
+
+    Of the hierarchy only the staged keys are grouped.
+    """
+    held = among(hierarchy.select(*SKU_REGION), staged, SKU_REGION)
+    keys = held.groupBy(*SKU_REGION).agg(F.count("*").alias("held"))
     on = {k: F.col(k) for k in SKU_REGION}
     return lookup(staged, keys, on, "held", hot=False).select(
         *SKU_REGION, "action", F.col("held").isNotNull().alias("exists"), "n_rows"
@@ -102,26 +107,29 @@ def resolve_parents(staged: DataFrame) -> DataFrame:
 
 def propagate_parent_on_publish(hierarchy: DataFrame, staged: DataFrame) -> DataFrame:
     """Hierarchy rows take the last staged parent of their internal SKU."""
-    last = last_parent_per_im_sku(staged)
-    joined = lookup(hierarchy, last, {"im_sku": F.col("im_sku")}, "last")
+    last = stage(last_parent_per_im_sku(staged), "last-parents")
+    joined = lookup(hierarchy, last, {"im_sku": F.col("im_sku")}, "last", small=fits(last))
     hit = F.col("last").isNotNull()
     return put(joined, hit, {"parent_sku": F.col("last.parent_sku")}).drop("last")
 
 
 def unmap(hierarchy: DataFrame, staged: DataFrame) -> DataFrame:
     """Hierarchy without the keys staged with a blank internal SKU."""
-    gone = staged.where(F.col("action") == "unmap").select(*SKU_REGION)
-    return hierarchy.join(gone, SKU_REGION, "left_anti")
+    return among(hierarchy, staged.where(F.col("action") == "unmap"), SKU_REGION, keep=False)
 
 
 def hierarchy_upsert(hierarchy: DataFrame, upserts: DataFrame) -> DataFrame:
-    """Overwrite every row of a staged key, insert keys not held."""
+    """Overwrite every row of a staged key, insert keys not held.
+
+    ``upserts`` is read several times: stage it. A batch that fits a broadcast moves no
+    hierarchy row, and only the hierarchy keys it meets are compared with it.
+    """
     on = {k: F.col(k) for k in SKU_REGION}
     records = upserts.select(*SKU_REGION, F.struct(*_VALUES).alias("rec"))
-    joined = lookup(hierarchy.select(*HIERARCHY.names), records, on)
+    joined = lookup(hierarchy.select(*HIERARCHY.names), records, on, small=fits(records))
     values = {c: F.col(f"rec.{c}") for c in _VALUES}
     updated = put(joined, F.col("rec").isNotNull(), values).drop("rec")
-    held = hierarchy.select(*SKU_REGION).distinct()
+    held = among(hierarchy.select(*SKU_REGION), upserts, SKU_REGION).distinct()
     inserts = upserts.select(*HIERARCHY.names).join(held, SKU_REGION, "left_anti")
     return updated.unionByName(inserts)
 
@@ -142,9 +150,14 @@ class Published(NamedTuple):
 def publish(
     staging: DataFrame, hierarchy: DataFrame, widths: _Widths | None = None
 ) -> Published:
-    """Publish everything staged (M9)."""
-    staged = stage(with_action(staging_last(staging, _VALUES), widths), "staged")
-    upserts = resolve_parents(staged).where(F.col("action") == "upsert")
+    """Publish everything staged (M9).
+
+    Columns that the staging table does not have take their defaults (N10); a null in a column
+    that it has stays null.
+    """
+    whole = conform(staging, STAGING, defaults=STAGING_DEFAULTS)
+    staged = stage(with_action(staging_last(whole, _VALUES), widths), "staged")
+    upserts = stage(resolve_parents(staged).where(F.col("action") == "upsert"), "upserts")
     kept = propagate_parent_on_publish(unmap(hierarchy, staged), staged)
     return Published(
         hierarchy=hierarchy_upsert(kept, upserts),

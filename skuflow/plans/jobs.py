@@ -5,7 +5,9 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from skuflow.functions import datetime_text
 from skuflow.operators.explore import quality_metrics
 from skuflow.operators.feeds import feed_latest
 from skuflow.operators.mapping import (
@@ -15,9 +17,9 @@ from skuflow.operators.mapping import (
 from skuflow.operators.merge import (
     Merge, append_rows, has_full_key, merge_catalogue, stamp_catalogue_from_feed,
 )
-from skuflow.schemas import FULL_KEY
+from skuflow.schemas import EXPORT_COLUMN_NAMES, FULL_KEY
 from skuflow.session import stage
-from skuflow.sources.tables import POSITION, dashboard_rows
+from skuflow.sources.tables import POSITION, dashboard_rows, write_csv
 
 
 def map_feed(feed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -33,10 +35,16 @@ def map_feed(feed: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def new_mapping(
-    feed: DataFrame, catalogue: DataFrame, now: Column | None = None
+    feed: DataFrame, catalogue: DataFrame, now: Column | None = None, bucketed: bool = False,
 ) -> Merge:
     """Map the feed and merge it into the catalogue."""
-    return merge_catalogue(catalogue, map_feed(feed, catalogue), now)
+    return merge_catalogue(catalogue, map_feed(feed, catalogue), now, bucketed)
+
+
+def export_feed(feed: DataFrame, path: str) -> None:
+    """The feed's sellers as CSV files, before they are mapped (K3)."""
+    sellers = feed_latest(feed).withColumn("date", datetime_text(F.col("date")))
+    write_csv(sellers.select(*[F.col(c).alias(n) for n, c in EXPORT_COLUMN_NAMES.items()]), path)
 
 
 class Dump(NamedTuple):

@@ -63,7 +63,7 @@ FEED_ORDER = ["marketplace_sku", "asin", "region", "feed_channel"]
 
 ATTRIBUTIONS = ["modified_by", "modified_by_finance", "modified_by_admin"]
 
-# Column names used by the order feeds and by the catalogue CSV.
+# Column names used by the order feeds, the catalogue CSV and the feed export.
 FEED_COLUMN_NAMES = {
     "SellerSKU_Optimized": "seller_sku",
     "ASIN": "asin",
@@ -84,9 +84,22 @@ CSV_COLUMN_NAMES = {
     "linnwork's_sku_received_from": "modified_by",
     "Comment": "comment",
 }
+EXPORT_COLUMN_NAMES = {
+    "SellerSKU": "seller_sku",
+    "ASIN": "asin",
+    "Region": "region",
+    "SalesChannel": "sales_channel",
+    "Date": "date",
+    "Title": "title",
+}
 CSV_OPTIONAL = {"Comment"}
 
 # Defaults of the staging and hierarchy tables.
 DEFAULT_SALES_TABLE = "stg_tr_amazon_raw"
 DEFAULT_CHANNEL = "Amazon"
 DEFAULT_COMPANY = "RDX"
+STAGING_DEFAULTS = {
+    "marketplace_sales_table": DEFAULT_SALES_TABLE,
+    "channel": DEFAULT_CHANNEL,
+    "company": DEFAULT_COMPANY,
+}

@@ -102,6 +102,40 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, keys: list[str], buckets: int
+) -> DataFrame:
+    """Write a table bucketed and sorted by ``keys`` and return it.
+
+    Joins and groupings by all the keys then need no shuffle of it. A bucket is one task, so
+    the keys must be (nearly) unique: a hot one would fill its bucket.
+    """
+    (
+        df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
+def write_feed(feed: DataFrame, path: str) -> None:
+    """The feed of all regions as one table, a folder for each region."""
+    feed.write.partitionBy("region").parquet(path)
+
+
+def read_feed(spark: SparkSession, path: str, regions: DataFrame | None = None) -> DataFrame:
+    """A feed written by ``write_feed``, of all regions or of those in ``regions``.
+
+    The regions may come out of any query. They are broadcast, one row for each folder at most
+    as others match none, and the scan opens their folders only.
+    """
+    feed = spark.read.schema(FEED).parquet(path)
+    if regions is None:
+        return feed
+    folders = feed.select("region").distinct()
+    wanted = regions.select("region").distinct().join(folders, "region", "left_semi")
+    return feed.join(F.broadcast(wanted), "region", "left_semi").select(*FEED.names)
+
+
 def dashboard_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON records, null fields included (K5)."""
     fields = [

@@ -8,7 +8,8 @@ from skuflow.operators import merge as G
 from skuflow.operators.joins import bulk_update
 from skuflow.operators.ordered import number_rows
 from skuflow.plans.jobs import dump
-from skuflow.schemas import CATALOGUE, FEED
+from skuflow.schemas import CATALOGUE, FEED, FULL_KEY
+from skuflow.sources.tables import write_bucketed
 from tests.helpers import NOW, OLD, catalogue, frame, mapped, pick
 
 
@@ -42,6 +43,34 @@ def test_merge_updates_last_row_and_inserts(spark):
     assert pick(again.catalogue, *CATALOGUE.names) == pick(result.catalogue, *CATALOGUE.names)
 
 
+def test_bucketed_catalogue_is_not_shuffled(spark, conf, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    plain = catalogue(spark, [
+        {"id": i, "marketplace_sku": f"S{i // 2}", "level_1": "old" if i % 3 else None} for i in range(1, 60)
+    ])
+    rows = mapped(spark, [
+        {"marketplace_sku": f"S{i}", "level_1": None if i % 4 else "new", "feed_channel": c}
+        for i in range(20, 40) for c in "CD"
+    ] + [{"marketplace_sku": None}])
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    held = write_bucketed(plain, "held_in_buckets", str(tmp_path / "held"), FULL_KEY, 4)
+    try:
+        got, want = G.merge_catalogue(held, rows, _now(), bucketed=True), G.merge_catalogue(plain, rows, _now())
+        for a, b in zip(got, want):
+            assert pick(a, *a.columns) == pick(b, *a.columns)
+        plan = got.catalogue._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.splitlines() if "FileScan" in line and "held_in_buckets" in line and "Bucketed: true" in line]
+        assert wide
+        _, _, below = plan.partition("SortMergeJoin")
+        left = below.split("FileScan")[0]
+        assert "Exchange" not in left
+        _, _, below = G.merge_candidates(rows, held)._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")
+        assert below.count("Exchange hashpartitioning") == 1  # of the mapped rows
+    finally:
+        spark.sql("drop table held_in_buckets")
+
+
 def test_merge_into_empty_catalogue(spark):
     result = G.merge_catalogue(catalogue(spark, []), mapped(spark, [{}]), _now())
     assert pick(result.catalogue, "id", "marketplace_sku") == [(1, "S")]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from skuflow.operators import joins as J
 from skuflow.operators import publish as P
 from skuflow.schemas import HIERARCHY
 from tests.helpers import hierarchy, pick, staging
@@ -128,3 +129,52 @@ def test_any_length_is_published_without_widths(spark):
     assert pick(result.actions, "action") == [("upsert",)]
     assert pick(result.hierarchy, "im_sku", "level_1") == [("I" * 300, "x" * 256)]
     assert result.staging.count() == 0
+
+
+@pytest.fixture
+def unmeasured(monkeypatch):
+    """As with batches too large to broadcast."""
+    for module in (P, J):
+        monkeypatch.setattr(module, "fits", lambda df, limit=0: False)
+
+
+def test_publish_of_a_large_batch_is_the_same(spark, unmeasured):
+    test_publish_equals_row_by_row(spark, 11)
+    test_actions_and_summary(spark)
+
+
+def test_small_batch_moves_no_hierarchy_row(spark, conf, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    held = [{"marketplace_sku": f"S{i}", "region": "DE", "im_sku": "I1" if i % 3 else f"I{i}"} for i in range(500)]
+    hierarchy(spark, held).write.parquet(str(tmp_path / "held"))
+    large = spark.read.parquet(str(tmp_path / "held"))
+    batch = staging(spark, [
+        {"id": 1, "marketplace_sku": "S7", "im_sku": "I1", "parent_sku": "P"},
+        {"id": 2, "marketplace_sku": "S8", "im_sku": None}, {"id": 3, "marketplace_sku": "N", "im_sku": "I9"},
+    ])
+    result = P.publish(batch, large)
+    plan = result.hierarchy._jdf.queryExecution().executedPlan().toString()
+    # Hierarchy rows meet broadcasts only; the one shuffle join is of the upserts and the keys
+    # of the hierarchy that they meet.
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    assert len(joins) == 1 and "LeftAnti" in joins[0]
+    assert result.hierarchy.count() == 500
+    assert result.hierarchy.where("parent_sku = 'P'").count() == sum(r["im_sku"] == "I1" for r in held) - 1
+    assert pick(result.actions, "marketplace_sku", "exists") == [("N", False), ("S7", True), ("S8", True)]
+
+
+def test_absent_columns_take_defaults_and_nulls_stay(spark):
+    batch = staging(spark, [{"id": 1, "marketplace_sku": "S", "im_sku": "I", "company": None}])
+    held = hierarchy(spark, [])
+    assert pick(P.publish(batch, held).hierarchy, "company", "channel") == [(None, "c")]
+    less = batch.drop("company", "channel", "marketplace_sales_table", "level_1")
+    assert pick(P.publish(less, held).hierarchy, "company", "channel", "marketplace_sales_table", "level_1") == [
+        ("RDX", "Amazon", "stg_tr_amazon_raw", None)
+    ]
+
+
+def test_size_of_values(spark):
+    rows = spark.createDataFrame([("ab", ("c", None)), (None, None)], "k string, s struct<a:string,b:bigint>")
+    # Two letters and a third in a struct, and eight bytes for each of four values of two rows.
+    assert J.fits(rows, 67) and not J.fits(rows, 66)
+    assert J.fits(rows.limit(0), 0)

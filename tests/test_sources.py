@@ -149,3 +149,28 @@ def test_csv_rejects_keep_their_position(spark, tmp_path):
     rows = T.read_catalogue_csv(spark, str(tmp_path / "a.csv"), positions=True)
     rejects = jobs.dump(catalogue(spark, []), rows, frame(spark, S.FEED, [])).rejects
     assert [(r._position.row, r.marketplace_sku) for r in rejects.collect()] == [(1, None)]
+
+
+def test_feed_of_some_regions_opens_their_folders(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    rows = [{"seller_sku": f"s{i}", "region": ["DE", "ES", "IT", None][i % 4], "title": "t"} for i in range(40)]
+    T.write_feed(frame(spark, S.FEED, rows), path)
+    assert pick(T.read_feed(spark, path), "region", "seller_sku") == pick(frame(spark, S.FEED, rows), "region", "seller_sku")
+    # Repeated and unknown regions and a null choose nothing more.
+    wanted = spark.createDataFrame([("DE",), ("DE",), ("XX",), (None,)], "region string").where("length(region) = 2")
+    some = T.read_feed(spark, path, wanted)
+    assert some.columns == S.FEED.names
+    assert pick(some, "seller_sku") == sorted((f"s{i}",) for i in range(0, 40, 4))
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString()
+    assert T.read_feed(spark, path, wanted.limit(0)).count() == 0
+
+
+def test_feed_export_keeps_nulls_and_quotes(spark, tmp_path):
+    feed = frame(spark, S.FEED, [
+        {"seller_sku": " s1", "asin": "A", "region": "DE", "sales_channel": "x", "order_status": "Shipped", "title": 'a "b", c'},
+        {"seller_sku": "s2", "asin": "A", "region": "DE", "sales_channel": "x", "order_status": "Shipped", "title": None},
+    ])
+    jobs.export_feed(feed, str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert back.columns == ["SellerSKU", "ASIN", "Region", "SalesChannel", "Date", "Title"]
+    assert pick(back, "SellerSKU", "Title") == [("S1", 'a "b", c'), ("S2", None)]
