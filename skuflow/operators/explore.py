@@ -111,12 +111,13 @@ def search(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
 
 
 GRAM = 3  # letters of a gram
-_GRAM, _ID = "_gram", "_id"
+_GRAM, _BLOCK, _ROWS = "_gram", "_block", "_rows"
+_BITS = 64  # rows of a block: a bit of a long for each
 
 
 class SearchIndex(NamedTuple):
-    rows: DataFrame  # in slices by id
-    postings: DataFrame  # in order: each gram with the slices and ids of its rows
+    rows: DataFrame  # in slices by id, each with its place in the slice
+    postings: DataFrame  # in order: each gram with the slices, blocks and places of its rows
     columns: tuple[str, ...]  # what the index covers
 
 
@@ -125,9 +126,11 @@ def search_index(df: DataFrame, columns: Sequence[str], key: str = "id") -> Sear
 
     A gram starts at every letter of a value and has ``GRAM`` letters, fewer at its end. So a
     word of ``GRAM`` letters or more occurs only in rows that hold all of its grams, and a
-    shorter one only in rows with a gram that begins with it. ``key`` tells rows apart; rows
-    without it are kept, under the key null. Postings are sorted by gram and key, so the rows
-    of a frequent gram spread over many files and a search reads the parts with its grams.
+    shorter one only in rows with a gram that begins with it. Rows lie in the order of ``key``
+    and are told apart by their places. A posting is a gram's rows among ``_BITS`` that follow
+    each other, a bit each: tasks join them before the shuffle, so a frequent gram is one row
+    a block. Postings are sorted by gram and block, so a frequent gram spreads over many files
+    and a search reads the parts with its grams.
     """
     rows = stage_in_order(df, [F.col(key)], "search-rows")
     def grams(text: Column) -> Column:
@@ -135,13 +138,22 @@ def search_index(df: DataFrame, columns: Sequence[str], key: str = "id") -> Sear
         cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM)))
         return F.coalesce(cut, F.array().cast("array<string>"))
 
-    found = F.array_distinct(F.concat(*[grams(fold_case(F.col(c))) for c in columns]))
-    postings = rows.select(F.explode(found).alias(_GRAM), SLICE, F.col(key).alias(_ID)).distinct()
-    ordered = postings.repartitionByRange(_GRAM, _ID).sortWithinPartitions(_GRAM, _ID)
+    found = F.concat(*[grams(fold_case(F.col(c))) for c in columns])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(PLACE) % _BITS).cast("int"))
+    postings = (
+        rows.select(SLICE, _block().alias(_BLOCK), bit.alias(_ROWS), F.explode(found).alias(_GRAM))
+        .groupBy(_GRAM, SLICE, _BLOCK).agg(F.bit_or(_ROWS).alias(_ROWS))
+    )
+    order = [_GRAM, SLICE, _BLOCK]
+    ordered = postings.repartitionByRange(*order).sortWithinPartitions(*order)
     return SearchIndex(rows, stage(ordered, "search-grams"), tuple(columns))
 
 
-def indexed_search(index: SearchIndex, text: str, key: str = "id") -> DataFrame:
+def _block() -> Column:
+    return F.floor(F.col(PLACE) / _BITS)
+
+
+def indexed_search(index: SearchIndex, text: str) -> DataFrame:
     """``search`` by an index: the rows that hold every gram of every word, then verified.
 
     Only the slices with a candidate are opened; their numbers, one row a slice, are broadcast.
@@ -154,17 +166,19 @@ def indexed_search(index: SearchIndex, text: str, key: str = "id") -> DataFrame:
     short = sorted({w for w in words if len(w) < GRAM})
     gram = F.col(_GRAM)
     hits = [gram == g for g in wanted] + [gram.startswith(w) for w in short]
+    in_all = reduce(Column.bitwiseAND, [F.col(f"_hit{i}") for i in range(len(hits))])
     candidates = (
-        index.postings.where(reduce(Column.__or__, hits)).groupBy(SLICE, _ID)
-        .agg(*[F.bool_or(hit).alias(f"_hit{i}") for i, hit in enumerate(hits)])
-        .where(reduce(Column.__and__, [F.col(f"_hit{i}") for i in range(len(hits))]))
-        .select(SLICE, _ID)
+        index.postings.where(reduce(Column.__or__, hits)).groupBy(SLICE, _BLOCK)
+        .agg(*[F.bit_or(F.when(hit, F.col(_ROWS))).alias(f"_hit{i}") for i, hit in enumerate(hits)])
+        .select(F.col(SLICE).alias("_at"), _BLOCK, in_all.alias(_ROWS)).where(F.col(_ROWS) != 0)
     )
-    slices = F.broadcast(candidates.select(SLICE).distinct())
+    slices = F.broadcast(candidates.select(F.col("_at").alias(SLICE)).distinct())
     opened = index.rows.join(slices, SLICE, "left_semi")
-    ids = candidates.select(F.col(_ID), F.col(SLICE).alias("_at"))
-    same = F.col(key).eqNullSafe(F.col(_ID)) & (F.col(SLICE) == F.col("_at"))
-    return search(opened.join(ids, same, "left_semi").drop(SLICE, PLACE), text, index.columns)
+    same = (
+        (F.col(SLICE) == F.col("_at")) & (_block() == F.col(_BLOCK))
+        & (F.getbit(F.col(_ROWS), F.col(PLACE) % _BITS) == 1)
+    )
+    return search(opened.join(candidates, same, "left_semi").drop(SLICE, PLACE), text, index.columns)
 
 
 def facet_counts(df: DataFrame, column: str) -> DataFrame:

@@ -158,3 +158,12 @@ def test_indexed_search_prunes(spark, conf):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
     assert "PushedFilters: [Or(" in plan or "PushedFilters: [In(_gram" in plan
+
+
+def test_frequent_gram_is_a_row_a_block(spark, conf):
+    conf(spark__sql__shuffle__partitions="4", spark__sql__adaptive__coalescePartitions__enabled="false")
+    table = catalogue(spark, [{"id": i, "marketplace_sku": f"S{i % 3}", "region": "everywhere"} for i in range(1280)])
+    index = X.search_index(table, ["marketplace_sku", "region"])
+    # 20 full blocks, and one begun at each slice's end.
+    assert index.postings.where("_gram = 'eve'").count() <= 24
+    assert pick(X.indexed_search(index, "where S2"), "id") == [(i,) for i in range(1280) if i % 3 == 2]
