@@ -62,43 +62,46 @@ def check_edits(edits: DataFrame, staging: DataFrame) -> DataFrame:
     for c in reversed(_REQUIRED):
         reason = F.when(F.col(c).isNull(), F.lit(f"missing_{c}")).otherwise(reason)
     order = ["edit_seq", "id", "marketplace_sku", "asin"]
-    numbered = number_rows(
-        edits.select(*EDITS.names, reason.alias("reason")), order, F.lit(0), "pos", "numbered-edits"
-    )
+    # Staged, as is all that several steps read: otherwise the plan of each of them, which the
+    # driver holds, repeats the steps before.
+    numbered = stage(number_rows(
+        edits.select(*EDITS.names, reason.alias("reason")), order, F.lit(0), "pos", "sliced-edits"
+    ), "numbered-edits")
     wanted = numbered.where("reason is null").select("id", "marketplace_sku").distinct()
     skus = wanted.select("marketplace_sku").distinct()
     holders = keep_matching(
         staging.select("id", "marketplace_sku"), skus, {"marketplace_sku": F.col("marketplace_sku")}
     )
+    claims = stage(wanted.unionByName(holders), "claims")
     # SKUs that more than one id wants or holds; all others are free to whoever wants them.
     contested = (
-        wanted.unionByName(holders).groupBy("marketplace_sku")
+        claims.groupBy("marketplace_sku")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
         .select("marketplace_sku", F.lit(True).alias("contested"))
     )
     contested = stage(contested, "contested-skus")
     if contested.isEmpty():
         return numbered
-    rejected = _rejected(numbered, staging, wanted.unionByName(holders), contested)
+    rejected = _rejected(numbered, staging, claims, contested)
     return lookup(
         numbered, rejected.select("pos", F.lit("duplicate_sku").alias("late")), {"pos": F.col("pos")},
-        "late", hot=False,
+        "late", hot=False, apart=True,
     ).withColumn("reason", F.coalesce("reason", "late")).drop("late")
 
 
 def _rejected(numbered: DataFrame, staging: DataFrame, claims: DataFrame, contested: DataFrame) -> DataFrame:
     """``pos`` of the edits that find their SKU held by another id."""
     sku = {"marketplace_sku": F.col("marketplace_sku")}
-    ids = keep_matching(claims, contested.select("marketplace_sku"), sku).select("id").distinct()
+    ids = keep_matching(claims, contested.select("marketplace_sku"), sku, apart=True).select("id").distinct()
     own = {"id": F.col("id")}
     # What the ids hold at first counts as edits at 0. State 1: takes place, 0: undecided.
     first = keep_matching(staging.select("id", "marketplace_sku"), ids, own, hot=False).select(
         "*", F.lit(0).cast("long").alias("pos"), F.lit(1).alias("state")
     )
     later = keep_matching(
-        numbered.where("reason is null").select("id", "marketplace_sku", "pos"), ids, own, hot=False
+        numbered.where("reason is null").select("id", "marketplace_sku", "pos"), ids, own, hot=False, apart=True,
     )
-    later = lookup(later, contested, sku, "contested").select(
+    later = lookup(later, contested, sku, "contested", apart=True).select(
         "id", "marketplace_sku", "pos", F.when(F.col("contested"), 0).otherwise(1).alias("state")
     )
     rows = stage(first.unionByName(later), "sku-claims")
@@ -144,7 +147,7 @@ def _round(rows: DataFrame, levels: int) -> DataFrame:
     )
     tenures = held("state = 1", "sure_end", True).unionByName(held("state >= 0", "last_end", False))
     others = held_by_others(tenures, points, levels)
-    found = lookup(rows, others, {"point": F.col("pos")}, hot=False)
+    found = lookup(rows, others, {"point": F.col("pos")}, hot=False, apart=True)
     free = ~F.coalesce(F.col("rec.possible"), F.lit(False))
     state = F.when(F.col("state") != 0, F.col("state")).when(F.col("rec.sure"), -1).when(free, 1).otherwise(0)
     return found.select("id", "marketplace_sku", "pos", state.alias("state"))
@@ -168,15 +171,22 @@ def with_history(valid: DataFrame, catalogue: DataFrame, few: bool = False) -> D
     })
     def beside(df: DataFrame, key: str, at: str, value: Column, name: str) -> DataFrame:
         events = rows.select(key, at, value.alias(name))
-        return last_before(events, df, key, at, [name], f"edits-{name}", inclusive=False, bounded=few)
-
-    out = beside(rows, "asin", "back", F.col("pos"), "asin_next")
-    out = beside(out, "own", "back", F.col("pos"), "own_next")
-    out = beside(out, "own", "pos", F.struct("pos", "asin"), "own_before")
+        return last_before(events, df, key, at, [name], f"edits-{name}", inclusive=False)
+
+    if few:
+        asin, own = (Window.partitionBy(c).orderBy("pos") for c in ("asin", "own"))
+        out = rows.withColumns({
+            "asin_next": F.lead("pos").over(asin), "own_next": F.lead("pos").over(own),
+            "own_before": F.lag(F.struct("pos", "asin")).over(own),
+        })
+    else:
+        out = beside(rows, "asin", "back", F.col("pos"), "asin_next")
+        out = beside(out, "own", "back", F.col("pos"), "own_next")
+        out = beside(out, "own", "pos", F.struct("pos", "asin"), "own_before")
     first = keep_matching(
         catalogue.select("id", "asin"), rows.select("id").distinct(), {"id": F.col("id")}, hot=False
     ).select("id", F.struct("asin").alias("stored"))
-    out = lookup(out, first, {"id": F.col("id")}, "stored", hot=False)
+    out = lookup(out, first, {"id": F.col("id")}, "stored", hot=False, apart=True)
     return stage(out.withColumns({
         "was": F.coalesce(F.col("own_before.asin"), F.col("stored.asin")),
         "asin_next": F.coalesce("asin_next", F.lit(END)), "own_next": F.coalesce("own_next", F.lit(END)),
@@ -223,10 +233,12 @@ def handed_on(history: DataFrame, few: bool = False) -> DataFrame:
 def asin_events(history: DataFrame, handed: DataFrame) -> DataFrame:
     """Events of ASINs: the internal SKU and names its edits give, and what is handed on."""
     own = history.select("asin", F.col("pos").alias("at"), F.struct("pos", "im_sku", "low").alias("given"), *_names())
-    passed = [
-        handed.where(F.col(c).isNotNull()).select("asin", F.col(c)["pos"].alias("at"), c) for c in TAKEN
+    each = [
+        F.struct(F.col(c)["pos"].alias("at"), *[F.when(F.lit(t == c), F.col(t)).alias(t) for t in TAKEN])
+        for c in TAKEN
     ]
-    return _union(own, *passed)
+    passed = handed.select("asin", F.explode(F.array(*each)).alias("e")).where("e.at is not null")
+    return _union(own, passed.select("asin", "e.*"))
 
 
 def at_the_end(events: DataFrame) -> DataFrame:
@@ -254,7 +266,7 @@ def summary(history: DataFrame, catalogue: DataFrame) -> DataFrame:
     many = "%d (%s) skus have been updated for ASIN (%s). Refresh your screen to see the changes."
     one = "%d (%s) sku has been updated for ASIN (%s)."
     im_sku = F.coalesce(strip(F.col("edit.im_sku")), F.lit(""))
-    return lookup(counted, stored, {"asin": F.col("asin")}, "n").select(
+    return lookup(counted, stored, {"asin": F.col("asin")}, "n", apart=True).select(
         F.col("edit.edit_seq").alias("edit_seq"), F.col("edit.id").alias("id"), "asin",
         n.alias("updated_count"),
         F.when(n > 1, F.format_string(many, n, im_sku, "asin"))
@@ -300,13 +312,13 @@ def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: b
         F.least(F.col("own_next") - 1, last).alias("hi"), "id", "pos", complete.alias("complete"),
     )
     pieces = _pieces(history, last, few)
-    pieces = stage(keep_matching(pieces, keys, {"key": F.col("low")}), "asin-pieces")
+    pieces = stage(keep_matching(pieces, keys, {"key": F.col("low")}, apart=True), "asin-pieces")
     members = stage(member.unionByName(edited.where("complete").drop("pos", "complete")), "members")
     alone = stage(alone, "lone-rows")
     known = -1
     while True:
         inside = least_holding(members, pieces.select("key", "at", "point"), levels)
-        held = pieces.join(inside, "point").select(
+        held = pieces.join(inside.hint("merge"), "point").select(
             F.col("low").alias("key"), F.col("at").alias("lo"), "hi",
             F.explode(F.array("first", "second")).alias("id"),
         ).where("id is not null")
@@ -319,7 +331,7 @@ def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: b
             return found
         known = count
         # What has found a reference is complete from then on, and may be one itself.
-        gained = edited.where("not complete").join(found.select("pos"), "pos", "left_semi")
+        gained = edited.where("not complete").join(found.select("pos").hint("merge"), "pos", "left_semi")
         members = stage(
             member.unionByName(edited.where("complete").drop("pos", "complete"))
             .unionByName(gained.drop("pos", "complete")), "members",
@@ -363,20 +375,20 @@ def filled(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: bool
         {"id": F.col("id")}, hot=False,
     )
     stored = stored.select(F.col("id").alias("ref"), F.struct("level_1", "linworks_title").alias("row"))
-    at = lookup(at, stored, {"ref": F.col("ref")}, "row", hot=False)
-    linked = lookup(own, at.select("pos", F.struct("source", "row").alias("ref")), {"pos": F.col("pos")}, "ref", hot=False)
+    at = lookup(at, stored, {"ref": F.col("ref")}, "row", hot=False, apart=True)
+    linked = lookup(own, at.select("pos", F.struct("source", "row").alias("ref")), {"pos": F.col("pos")}, "ref", hot=False, apart=True)
     cells = []
     for c in ("level_1", "linworks_title"):
         follows = is_blank(F.col(c)) & F.col("ref").isNotNull()
-        cells.append(linked.select(
+        cells.append(F.struct(
             F.concat_ws(":", F.lit(c), "pos").alias("cell"),
             F.when(follows & F.col("ref.source").isNotNull(), F.concat_ws(":", F.lit(c), "ref.source")).alias("next"),
             F.when(follows, F.col(f"ref.row.{c}")).otherwise(F.col(c)).alias("value"),
         ))
-    cells = stage(cells[0].unionByName(cells[1]), "cells")
+    cells = stage(linked.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "cells")
     while not cells.where("next is not null").isEmpty():
         target = cells.select(F.col("cell").alias("next"), F.struct("next", "value").alias("rec"))
-        moved = lookup(cells, target, {"next": F.col("next")}, "rec")
+        moved = lookup(cells, target, {"next": F.col("next")}, "rec", apart=True)
         cells = stage(moved.select(
             "cell", F.when(F.col("next").isNotNull(), F.col("rec.next")).alias("next"),
             F.when(F.col("next").isNotNull(), F.col("rec.value")).otherwise(F.col("value")).alias("value"),
@@ -386,7 +398,8 @@ def filled(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: bool
         values = cells.where(F.col("cell").startswith(f"{c}:")).select(
             F.substring_index("cell", ":", -1).cast("long").alias("pos"), F.struct("value").alias("rec")
         )
-        out = lookup(out, values, {"pos": F.col("pos")}, "rec", hot=False).withColumn(c, F.col("rec.value")).drop("rec")
+        out = lookup(out, values, {"pos": F.col("pos")}, "rec", hot=False, apart=True)
+        out = out.withColumn(c, F.col("rec.value")).drop("rec")
     return out
 
 
@@ -402,7 +415,7 @@ def names_before_the_end(
     first = history.groupBy("id").agg(F.min("pos").alias("until"))
     stored = catalogue.select("id", "asin", fold_case(F.col("im_sku")).alias("low"), *ATTRIBUTIONS)
     stored = stored.join(first, "id")
-    stored = lookup(stored, ends.select("asin", F.col("rec.first").alias("first")), {"asin": F.col("asin")}, "first")
+    stored = lookup(stored, ends.select("asin", F.col("rec.first").alias("first")), {"asin": F.col("asin")}, "first", apart=True)
     stored = stage(stored, "stored-edited")
     original = stored.select("id", *[
         F.struct(F.lit(0).cast("long").alias("pos"), F.col(a).alias("name")).alias(c) for a, c in FOUND.items()

@@ -216,7 +216,7 @@ def staged_rows(staging: DataFrame, objects: DataFrame, now: Column) -> DataFram
     )
     joined = lookup(
         objects.select("id", "sales_channel", *same), old, {"id": F.col("id")}, "old",
-        hot=False,
+        hot=False, apart=True,
     )
     columns = []
     for f in STAGING:
@@ -242,7 +242,7 @@ def edit_responses(
     ``catalogue`` is the stored new version, so that it is not computed again.
     """
     said = objects.select("id", "edit_seq", "created").join(
-        summary.select("edit_seq", "message"), "edit_seq"
+        summary.select("edit_seq", "message").hint("merge"), "edit_seq"
     )
     return catalogue.join(said.drop("edit_seq"), "id").select(
         "id", *_SET_BY_EDIT, *ATTRIBUTIONS, "created", "message"
@@ -266,9 +266,9 @@ def _objects_of(history: DataFrame, catalogue: DataFrame, fills: DataFrame, name
     kept = ["date", "amazon_title", "created_at"]
     old = keep_matching(catalogue.select("id", *kept), last.select("id"), own, hot=False)
     joined = lookup(last, fills.select("pos", F.struct("level_1", "linworks_title").alias("filled")),
-                    {"pos": F.col("pos")}, "filled", hot=False)
-    joined = lookup(joined, names.withColumnRenamed("rec", "names"), own, "names", hot=False)
-    joined = lookup(joined, old.select("id", F.struct(*kept).alias("old")), own, "old", hot=False)
+                    {"pos": F.col("pos")}, "filled", hot=False, apart=True)
+    joined = lookup(joined, names.withColumnRenamed("rec", "names"), own, "names", hot=False, apart=True)
+    joined = lookup(joined, old.select("id", F.struct(*kept).alias("old")), own, "old", hot=False, apart=True)
     values = {c: F.col(f"names.{c}") for c in ATTRIBUTIONS} | {
         "level_1": F.col("filled.level_1"), "linworks_title": F.col("filled.linworks_title"),
         "parent_sku": F.col("parent"), "date": F.col("old.date"), "amazon_title": F.col("old.amazon_title"),
@@ -313,7 +313,7 @@ def _edited_catalogue(
     lone = last_before(spread, asked, "key", "at", H.TAKEN, "lone-rows")
     others = lookup(others, ends, by_asin)
     others = lookup(others, lone.select("id", F.struct(*H.TAKEN).alias("lone")), {"id": F.col("id")}, "lone", hot=False)
-    edited = lookup(objects, ends, by_asin).withColumn("lone", F.lit(None).cast(others.schema["lone"].dataType))
+    edited = lookup(objects, ends, by_asin, apart=True).withColumn("lone", F.lit(None).cast(others.schema["lone"].dataType))
     spread = F.struct("im_sku", "parent_sku", *ATTRIBUTIONS)
     others = _spread_to(others.withColumn("_was", spread), F.lit(0))
     if changes:
@@ -338,8 +338,8 @@ def _batch(catalogue: DataFrame, staging: DataFrame, edits: DataFrame, now: Colu
     history = H.with_history(valid, catalogue, few)
     events = stage(H.asin_events(history, H.handed_on(history, few)), "asin-events")
     ends = stage(H.at_the_end(events), "asin-ends")
-    fills = H.filled(history, catalogue, ends, few)
-    names = H.names_before_the_end(history, catalogue, events, ends, few)
+    fills = stage(H.filled(history, catalogue, ends, few), "fills")
+    names = stage(H.names_before_the_end(history, catalogue, events, ends, few), "edited-names")
     objects = stage(_objects_of(history, catalogue, fills, names, now), "edited")
     return _Batch(checked, valid, history, ends, objects)
 

@@ -52,7 +52,7 @@ def among(large: DataFrame, keys: DataFrame, on: Sequence[str], keep: bool = Tru
 
 def lookup(
     left: DataFrame, right: DataFrame, on: Mapping[str, Column], rec: str = "rec",
-    hot: bool = True, small: bool = False,
+    hot: bool = True, small: bool = False, apart: bool = False,
 ) -> DataFrame:
     """Left join adding the struct column ``rec``; null means no hit.
 
@@ -67,12 +67,16 @@ def lookup(
     narrow as it is, so that the hot partition can be split.
 
     ``small`` says that ``right`` was measured (``fits``): it is broadcast, ``left`` not moved.
+    ``apart`` shuffles both sides whatever their size, for jobs with dozens of joins: each
+    broadcast is built in the driver and stays there until its garbage is collected.
     """
     renamed = right.select(
         *[F.col(k).alias(f"_key_{k}") for k in on], F.col(rec)
     )
     if small:
         renamed, hot = F.broadcast(renamed), False
+    elif apart:
+        renamed = renamed.hint("merge")
     terms = [expr == F.col(f"_key_{k}") for k, expr in on.items()]
     if hot:
         first, expr = next(iter(on.items()))
@@ -100,10 +104,10 @@ def bulk_update(
 
 
 def keep_matching(
-    left: DataFrame, keys: DataFrame, on: Mapping[str, Column], hot: bool = True
+    left: DataFrame, keys: DataFrame, on: Mapping[str, Column], hot: bool = True, apart: bool = False
 ) -> DataFrame:
     """Rows of ``left`` whose key is among the distinct ``keys``."""
-    marked = lookup(left, keys.withColumn("_found", F.lit(True)), on, "_found", hot)
+    marked = lookup(left, keys.withColumn("_found", F.lit(True)), on, "_found", hot, apart=apart)
     return marked.where(F.col("_found").isNotNull()).drop("_found")
 
 

@@ -56,7 +56,7 @@ def _cut(intervals: DataFrame, levels: int) -> DataFrame:
 def _met(points: DataFrame, blocks: DataFrame, levels: int) -> DataFrame:
     """Points with the ``rec`` of each block that holds them."""
     probes = points.select("*", F.explode(_holding("at", levels)).alias("b")).select("*", "b.size", "b.number")
-    met = lookup(probes, blocks, {c: F.col(c) for c in _AT})
+    met = lookup(probes, blocks, {c: F.col(c) for c in _AT}, apart=True)
     return met.where(F.col("rec").isNotNull())
 
 

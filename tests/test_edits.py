@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skuflow.operators import edit_history as H
 from skuflow.operators import edits as E
 from skuflow.schemas import ATTRIBUTIONS, CATALOGUE, HIERARCHY, STAGING
+from skuflow.operators.spans import least_holding
 from tests.helpers import NOW, OLD, catalogue, edits, hierarchy, pick, staging
 
 SET = [
@@ -286,3 +287,13 @@ def test_rejects(spark):
         5: "missing_region", 6: "missing_id", 7: "duplicate_sku", 8: None, 9: None,
         10: "duplicate_sku", 11: None, 12: None,
     }
+
+
+def test_sides_as_large_as_a_batch_are_not_broadcast(spark):
+    # The driver builds each broadcast, and a batch of edits takes dozens of joins.
+    spans = spark.createDataFrame([("k", 1, 5, 7), ("k", 2, 3, 8)], "key string, lo long, hi long, id long")
+    points = spark.createDataFrame([("k", 2, 1), ("k", 9, 2)], "key string, at long, point long")
+    got = least_holding(spans, points, 4)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(1, 7, 8)]
+
