@@ -3,8 +3,11 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from skuflow import adapter
 from skuflow import schemas as S
+from skuflow.functions import fold_case
 from skuflow.operators import mapping as M
 from skuflow.plans import jobs
 from skuflow.session import shared_dir, stage, stage_scope
@@ -174,3 +177,16 @@ def test_feed_export_keeps_nulls_and_quotes(spark, tmp_path):
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
     assert back.columns == ["SellerSKU", "ASIN", "Region", "SalesChannel", "Date", "Title"]
     assert pick(back, "SellerSKU", "Title") == [("S1", 'a "b", c'), ("S2", None)]
+
+
+def test_catalogue_leaves_no_constant_to_fold_in_the_driver(spark, tmp_path):
+    keys = [1, 5, 26, 31, 42, None]
+    spark.createDataFrame(
+        [(k, "name", "brand", "type", 1) for k in keys],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    folded = adapter.catalogue(spark, str(tmp_path)).select("id", fold_case(F.col("im_sku")).alias("low"))
+    assert "lower(CASE" in folded._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r["low"] for r in folded.collect()} == {
+        1: "im0", 5: None, 26: "im1000004", 31: "", 42: "im1+", None: None,
+    }
