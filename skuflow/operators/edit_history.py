@@ -38,9 +38,9 @@ END = 1 << 62
 FEW = 1_000_000
 
 
-def _levels(numbered: DataFrame) -> int:
-    """Block sizes that cover all numbers of the edits."""
-    return int(numbered.agg(F.max("pos")).first()[0] or 0).bit_length() + 1
+def block_levels(last: int | None) -> int:
+    """Block sizes that cover all numbers of the edits, up to ``last``."""
+    return int(last or 0).bit_length() + 1
 
 
 def _union(*frames: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def _rejected(numbered: DataFrame, staging: DataFrame, claims: DataFrame, contes
         "id", "marketplace_sku", "pos", F.when(F.col("contested"), 0).otherwise(1).alias("state")
     )
     rows = stage(first.unionByName(later), "sku-claims")
-    levels = _levels(numbered)
-    open_before = rows.where("state = 0").count()
+    open_before, latest = rows.agg(F.count_if(F.col("state") == 0), F.max("pos")).first()
+    levels = block_levels(latest)
     while open_before:
         rows = stage(_round(rows, levels), "sku-claims")
         open_after = rows.where("state = 0").count()
@@ -115,37 +115,51 @@ def _rejected(numbered: DataFrame, staging: DataFrame, claims: DataFrame, contes
     return rows.where("state = -1").select("pos")
 
 
-def _after(rows: DataFrame, counts: Column, name: str) -> DataFrame:
-    """Add ``name``: where the row's id first takes another SKU, by the rows that count."""
+def _after(rows: DataFrame, counted: dict[str, Column]) -> DataFrame:
+    """Add for each name where the row's id first takes another SKU, by the rows that count
+    for it. All names share each window, so that a round is planned and sorted once."""
     forward = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     backward = Window.partitionBy("id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(counts, F.col("marketplace_sku")), ignorenulls=True).over(forward)
-    changes = counts & ~before.eqNullSafe(F.col("marketplace_sku"))
-    marked = rows.withColumn("_change", F.when(changes, F.col("pos")))
-    marked = marked.withColumn("_change_after", F.last("_change", ignorenulls=True).over(backward))
-    following = F.when(counts, F.struct("pos", "marketplace_sku", "_change_after"))
-    marked = marked.withColumn("_next", F.last(following, ignorenulls=True).over(backward))
-    same = F.col("_next.marketplace_sku") == F.col("marketplace_sku")
-    end = F.when(same, F.col("_next._change_after")).otherwise(F.col("_next.pos"))
-    return marked.withColumn(name, F.coalesce(end, F.lit(END))).drop("_change", "_change_after", "_next")
+    sku = F.col("marketplace_sku")
+    marked = rows.withColumns({
+        f"_before_{n}": F.last(F.when(c, sku), ignorenulls=True).over(forward) for n, c in counted.items()
+    })
+    marked = marked.withColumns({
+        f"_change_{n}": F.when(c & ~F.col(f"_before_{n}").eqNullSafe(sku), F.col("pos")) for n, c in counted.items()
+    })
+    marked = marked.withColumns({
+        f"_change_after_{n}": F.last(f"_change_{n}", ignorenulls=True).over(backward) for n in counted
+    })
+    marked = marked.withColumns({
+        f"_next_{n}": F.last(
+            F.when(c, F.struct("pos", "marketplace_sku", F.col(f"_change_after_{n}").alias("change"))), ignorenulls=True
+        ).over(backward) for n, c in counted.items()
+    })
+    ends = []
+    for n in counted:
+        following = F.col(f"_next_{n}")
+        end = F.when(following["marketplace_sku"] == sku, following["change"]).otherwise(following["pos"])
+        ends.append(F.coalesce(end, F.lit(END)).alias(n))
+    return marked.select(*rows.columns, *ends)
 
 
 def _round(rows: DataFrame, levels: int) -> DataFrame:
     """Decide undecided claims that a certain holder, or nobody possible, stands against."""
     last = F.lit((1 << levels) - 1)
-    tenures = _after(_after(rows, F.col("state") >= 0, "sure_end"), F.col("state") == 1, "last_end")
+    possible, certain = F.col("state") >= 0, F.col("state") == 1
+    tenures = _after(rows, {"sure_end": possible, "last_end": certain})
 
-    def held(where: str, end: str, sure: bool) -> DataFrame:
-        return tenures.where(where).select(
-            F.col("marketplace_sku").alias("key"), (F.col("pos") + 1).alias("lo"),
-            F.least(F.col(end) - 1, last).alias("hi"), "id", F.lit(sure).alias("sure"),
-        )
+    def held(counts: Column, end: str, sure: bool) -> Column:
+        return F.when(counts, F.struct(F.least(F.col(end) - 1, last).alias("hi"), F.lit(sure).alias("sure")))
 
     points = rows.where("state = 0").select(
         F.col("marketplace_sku").alias("key"), F.col("pos").alias("at"), F.col("pos").alias("point"),
         F.col("id").alias("own"),
     )
-    tenures = held("state = 1", "sure_end", True).unionByName(held("state >= 0", "last_end", False))
+    each = F.array(held(certain, "sure_end", True), held(possible, "last_end", False))
+    tenures = tenures.select(
+        F.col("marketplace_sku").alias("key"), (F.col("pos") + 1).alias("lo"), "id", F.explode(each).alias("t")
+    ).where("t is not null").select("key", "lo", "t.hi", "id", "t.sure")
     others = held_by_others(tenures, points, levels)
     found = lookup(rows, others, {"point": F.col("pos")}, hot=False, apart=True)
     free = ~F.coalesce(F.col("rec.possible"), F.lit(False))
@@ -249,7 +263,7 @@ def at_the_end(events: DataFrame) -> DataFrame:
     ).alias("rec"))
 
 
-def summary(history: DataFrame, catalogue: DataFrame) -> DataFrame:
+def summary(history: DataFrame, catalogue: DataFrame, few: bool = False) -> DataFrame:
     """Per edit the rows its ASIN has at that moment, and the message shown."""
     stored = (
         keep_matching(catalogue.select("asin"), history.select("asin").distinct(), {"asin": F.col("asin")})
@@ -260,7 +274,7 @@ def summary(history: DataFrame, catalogue: DataFrame) -> DataFrame:
         history.select("asin", "pos", joins.alias("change"), F.struct("edit_seq", "id", "im_sku").alias("edit")),
         history.where("was <> asin").select(F.col("was").alias("asin"), "pos", F.lit(-1).alias("change")),
     )
-    counted = running_total(moves, "asin", "pos", "change", "moved", "asin-moves").where("edit is not null")
+    counted = running_total(moves, "asin", "pos", "change", "moved", "asin-moves", few).where("edit is not null")
     n = F.coalesce(F.col("n"), F.lit(0)) + F.col("moved")
     # The two messages.
     many = "%d (%s) skus have been updated for ASIN (%s). Refresh your screen to see the changes."
@@ -277,12 +291,13 @@ def summary(history: DataFrame, catalogue: DataFrame) -> DataFrame:
 # References: a complete row of the same internal SKU at the moment of an edit.
 
 
-def references(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: bool = False) -> DataFrame:
+def references(
+    history: DataFrame, catalogue: DataFrame, ends: DataFrame, levels: int, few: bool = False
+) -> DataFrame:
     """For edits that leave the category or title blank: the lowest other id that is complete
     and has their internal SKU then (``pos``, ``ref``; J9, M6)."""
     blank = is_blank(F.col("level_1")) | is_blank(F.col("linworks_title"))
     asking = history.where("key is not null").where(blank)
-    levels = _levels(history)
     last = F.lit((1 << levels) - 1)
     points = stage(asking.select(
         "key", F.col("pos").alias("at"), F.col("pos").alias("point"), F.col("id").alias("own"),
@@ -359,13 +374,15 @@ def _pieces(history: DataFrame, last: Column, few: bool) -> DataFrame:
     ).where("at <= hi")
 
 
-def filled(history: DataFrame, catalogue: DataFrame, ends: DataFrame, few: bool = False) -> DataFrame:
+def filled(
+    history: DataFrame, catalogue: DataFrame, ends: DataFrame, levels: int, few: bool = False
+) -> DataFrame:
     """``pos``, ``level_1`` and ``linworks_title`` of the edits, blanks filled (M6).
 
     A reference may itself have been filled by an edit; pointers to such are followed by
     doubling, so a chain of n takes log n steps.
     """
-    refs = references(history, catalogue, ends, few)
+    refs = references(history, catalogue, ends, levels, few)
     own = history.select("pos", "id", F.col("id").cast("string").alias("own"), "level_1", "linworks_title")
     asked = refs.select(F.col("ref").cast("string").alias("own"), "pos", "ref")
     states = own.select("own", "pos", F.col("pos").alias("source"))

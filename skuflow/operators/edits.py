@@ -328,20 +328,22 @@ class _Batch(NamedTuple):
     history: DataFrame
     ends: DataFrame
     objects: DataFrame
+    few: bool
 
 
 def _batch(catalogue: DataFrame, staging: DataFrame, edits: DataFrame, now: Column) -> _Batch:
     """What the edits do, staged: all of it is as large as the batch."""
     checked = stage(H.check_edits(edits, staging), "checked-edits")
     valid = checked.where(F.col("reason").isNull()).select(*EDITS.names, "pos")
-    few = valid.count() <= H.FEW
+    count, latest = valid.agg(F.count("*"), F.max("pos")).first()
+    few = count <= H.FEW
     history = H.with_history(valid, catalogue, few)
     events = stage(H.asin_events(history, H.handed_on(history, few)), "asin-events")
     ends = stage(H.at_the_end(events), "asin-ends")
-    fills = stage(H.filled(history, catalogue, ends, few), "fills")
+    fills = stage(H.filled(history, catalogue, ends, H.block_levels(latest), few), "fills")
     names = stage(H.names_before_the_end(history, catalogue, events, ends, few), "edited-names")
     objects = stage(_objects_of(history, catalogue, fills, names, now), "edited")
-    return _Batch(checked, valid, history, ends, objects)
+    return _Batch(checked, valid, history, ends, objects, few)
 
 
 def apply_edits(
@@ -359,7 +361,7 @@ def apply_edits(
         catalogue=_edited_catalogue(catalogue, b.objects, b.history, b.ends),
         staging=stage_edits(staging, b.objects, now),
         hierarchy=propagate_parent(hierarchy, b.valid, exact=True),
-        summary=H.summary(b.history, catalogue),
+        summary=H.summary(b.history, catalogue, b.few),
         rejects=b.checked.where(F.col("reason").isNotNull()),
         objects=b.objects,
     )
@@ -390,7 +392,7 @@ def edit_changes(
         catalogue=_edited_catalogue(catalogue, b.objects, b.history, b.ends, changes=True),
         staging=staged_rows(staging, b.objects, now),
         hierarchy=parents,
-        summary=H.summary(b.history, catalogue),
+        summary=H.summary(b.history, catalogue, b.few),
         rejects=b.checked.where(F.col("reason").isNotNull()),
     )
     return Changes(*[stage(df, f"changed-{name}") for name, df in parts._asdict().items()])

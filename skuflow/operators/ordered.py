@@ -162,12 +162,19 @@ def last_before(
     return found.select(key, at, *[F.col(f"_row.{c}").alias(c) for c in kept], *out)
 
 
-def running_total(df: DataFrame, key: str, at: str, value: str, out: str, label: str) -> DataFrame:
+def running_total(
+    df: DataFrame, key: str, at: str, value: str, out: str, label: str, bounded: bool = False
+) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to and including this time.
 
     Slices add up their own rows; the sums of earlier slices are a row for each slice and the
-    last key it holds, as only that can go on in the next.
+    last key it holds, as only that can go on in the next. ``bounded`` as in ``last_before``.
     """
+    if bounded:
+        so_far = Window.partitionBy(key).orderBy(at).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return df.withColumn(out, F.sum(value).over(so_far).cast("long"))
     sliced = stage_by_range(df, [key, at], label)
     ends = sliced.groupBy(SLICE).agg(F.max(key).alias("_last"))
     tails = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skuflow.operators import edit_history as H
 from skuflow.operators import edits as E
+from skuflow.operators import ordered
 from skuflow.operators.spans import least_holding
 from skuflow.schemas import ATTRIBUTIONS, CATALOGUE, HIERARCHY, STAGING
 from tests.helpers import NOW, OLD, catalogue, edits, hierarchy, pick, staging
@@ -297,3 +298,25 @@ def test_sides_as_large_as_a_batch_are_not_broadcast(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [(1, 7, 8)]
 
+
+def test_a_round_of_sku_claims_sorts_its_rows_once(spark):
+    # Two ways of counting share the windows: the driver plans and compiles half as much.
+    rows = spark.createDataFrame(
+        [(1, "S", 0, 1), (2, "S", 1, 0), (1, "T", 2, 1), (2, "S", 3, 0), (3, "S", 4, 0), (3, "U", 5, 0)],
+        "id long, marketplace_sku string, pos long, state int",
+    )
+    got = H._round(rows, 4)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3
+    assert pick(got, "pos", "state") == [(0, 1), (1, -1), (2, 1), (3, 1), (4, 0), (5, 1)]
+
+
+def test_totals_of_few_rows_are_not_staged(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = spark.createDataFrame(
+        [(rng.choice("ABC"), at, rng.choice([-1, 0, 1])) for at in range(60)], "asin string, at long, change int"
+    )
+    sliced = pick(ordered.running_total(rows, "asin", "at", "change", "moved", "totals"), "asin", "at", "moved")
+    monkeypatch.setattr(ordered, "stage", None)
+    bounded = ordered.running_total(rows, "asin", "at", "change", "moved", "totals", bounded=True)
+    assert pick(bounded, "asin", "at", "moved") == sliced
+    assert bounded.columns == ["asin", "at", "change", "moved"]
