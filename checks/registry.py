@@ -608,4 +608,4 @@ def edit_changes_hierarchy(spark, d):
 @query
 def edit_responses(spark, d):
     done = _edited(spark, d)
-    return E.edit_responses(done.catalogue, done.objects, done.summary)
+    return E.edit_responses(done.answered, done.objects, done.summary)

@@ -26,7 +26,7 @@ from skuflow.operators.joins import keep_matching, lookup
 from skuflow.operators.ordered import last_before, number_rows, running_total
 from skuflow.operators.spans import held_by_others, least_holding, least_two
 from skuflow.schemas import ATTRIBUTIONS, EDITS
-from skuflow.session import stage
+from skuflow.session import stage, stage_counted
 
 _REQUIRED = ["id", "marketplace_sku", "asin", "region", "sales_channel"]
 _DEPARTMENTS = {"SCM": "d_scm", "FINANCE": "d_finance", "ADMIN": "d_admin"}
@@ -79,8 +79,8 @@ def check_edits(edits: DataFrame, staging: DataFrame) -> DataFrame:
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
         .select("marketplace_sku", F.lit(True).alias("contested"))
     )
-    contested = stage(contested, "contested-skus")
-    if contested.isEmpty():
+    contested, seen = stage_counted(contested, "contested-skus", n=F.count("*"))
+    if not seen["n"]:
         return numbered
     rejected = _rejected(numbered, staging, claims, contested)
     return lookup(
@@ -104,14 +104,13 @@ def _rejected(numbered: DataFrame, staging: DataFrame, claims: DataFrame, contes
     later = lookup(later, contested, sku, "contested", apart=True).select(
         "id", "marketplace_sku", "pos", F.when(F.col("contested"), 0).otherwise(1).alias("state")
     )
-    rows = stage(first.unionByName(later), "sku-claims")
-    open_before, latest = rows.agg(F.count_if(F.col("state") == 0), F.max("pos")).first()
-    levels = block_levels(latest)
+    undecided = F.count_if(F.col("state") == 0)
+    rows, seen = stage_counted(first.unionByName(later), "sku-claims", open=undecided, last=F.max("pos"))
+    open_before, levels = seen["open"], block_levels(seen["last"])
     while open_before:
-        rows = stage(_round(rows, levels), "sku-claims")
-        open_after = rows.where("state = 0").count()
-        assert open_after < open_before, "the first undecided edit is always decided"
-        open_before = open_after
+        rows, seen = stage_counted(_round(rows, levels), "sku-claims", open=undecided)
+        assert seen["open"] < open_before, "the first undecided edit is always decided"
+        open_before = seen["open"]
     return rows.where("state = -1").select("pos")
 
 
@@ -299,9 +298,9 @@ def references(
     blank = is_blank(F.col("level_1")) | is_blank(F.col("linworks_title"))
     asking = history.where("key is not null").where(blank)
     last = F.lit((1 << levels) - 1)
-    points = stage(asking.select(
+    points = asking.select(
         "key", F.col("pos").alias("at"), F.col("pos").alias("point"), F.col("id").alias("own"),
-    ), "asking")
+    )
     complete = ~is_blank(F.col("level_1")) & ~is_blank(F.col("linworks_title"))
     keys = points.select("key").distinct()
     asins = ends.select("asin", F.col("rec.first").alias("first"))
@@ -340,11 +339,10 @@ def references(
         found = least_holding(alone.unionByName(held), points, levels, "own").select(
             F.col("point").alias("pos"), F.col("first").alias("ref")
         )
-        found = stage(found, "references")
-        count = found.count()
-        if count == known:
+        found, seen = stage_counted(found, "references", n=F.count("*"))
+        if seen["n"] == known:
             return found
-        known = count
+        known = seen["n"]
         # What has found a reference is complete from then on, and may be one itself.
         gained = edited.where("not complete").join(found.select("pos").hint("merge"), "pos", "left_semi")
         members = stage(
@@ -402,14 +400,17 @@ def filled(
             F.when(follows & F.col("ref.source").isNotNull(), F.concat_ws(":", F.lit(c), "ref.source")).alias("next"),
             F.when(follows, F.col(f"ref.row.{c}")).otherwise(F.col(c)).alias("value"),
         ))
-    cells = stage(linked.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "cells")
-    while not cells.where("next is not null").isEmpty():
+    following = F.count("next")
+    cells, seen = stage_counted(
+        linked.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "cells", n=following
+    )
+    while seen["n"]:
         target = cells.select(F.col("cell").alias("next"), F.struct("next", "value").alias("rec"))
         moved = lookup(cells, target, {"next": F.col("next")}, "rec", apart=True)
-        cells = stage(moved.select(
+        cells, seen = stage_counted(moved.select(
             "cell", F.when(F.col("next").isNotNull(), F.col("rec.next")).alias("next"),
             F.when(F.col("next").isNotNull(), F.col("rec.value")).otherwise(F.col("value")).alias("value"),
-        ), "cells")
+        ), "cells", n=following)
     out = history.select("pos")
     for c in ("level_1", "linworks_title"):
         values = cells.where(F.col("cell").startswith(f"{c}:")).select(

@@ -24,7 +24,7 @@ from skuflow.operators.ordered import last_before
 from skuflow.schemas import (
     ATTRIBUTIONS, CATALOGUE, DEFAULT_CHANNEL, DEFAULT_SALES_TABLE, EDITS, STAGING,
 )
-from skuflow.session import stage
+from skuflow.session import stage, stage_counted
 
 _SET_BY_EDIT = [
     "marketplace_sku", "asin", "im_sku", "parent_sku", "region", "sales_channel",
@@ -239,7 +239,8 @@ def edit_responses(
     """What each edited id's last edit is answered with: its row as it is now, whether it
     was created, and the message (S4).
 
-    ``catalogue`` is the stored new version, so that it is not computed again.
+    ``catalogue`` is the stored new version, so that it is not computed again, or only its
+    edited rows (``Edited.answered``): no other row has an answer.
     """
     said = objects.select("id", "edit_seq", "created").join(
         summary.select("edit_seq", "message").hint("merge"), "edit_seq"
@@ -256,6 +257,7 @@ class Edited(NamedTuple):
     summary: DataFrame
     rejects: DataFrame
     objects: DataFrame  # the edited rows right after their own last edit
+    answered: DataFrame  # the edited rows after all edits, as in ``catalogue``
 
 
 def _objects_of(history: DataFrame, catalogue: DataFrame, fills: DataFrame, names: DataFrame, now: Column) -> DataFrame:
@@ -293,13 +295,20 @@ def _spread_to(rows: DataFrame, pos: Column) -> DataFrame:
     })
 
 
-def _edited_catalogue(
-    catalogue: DataFrame, objects: DataFrame, history: DataFrame, ends: DataFrame, changes: bool = False,
+def _edited_rows(objects: DataFrame, history: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edited rows after all edits: what is later than their own last one reaches them."""
+    lone = H.spreads(history).select(F.struct(*H.TAKEN).alias("lone")).schema["lone"].dataType
+    edited = lookup(objects, ends, {"asin": F.col("asin")}, apart=True).withColumn("lone", F.lit(None).cast(lone))
+    return _spread_to(edited, F.col("pos")).select(*CATALOGUE.names)
+
+
+def _other_rows(
+    catalogue: DataFrame, objects: DataFrame, history: DataFrame, ends: DataFrame, few: bool, changes: bool = False,
 ) -> DataFrame:
-    """All rows after all edits: edited ones, and others as their ASIN and internal SKU say.
+    """Rows without an edit of their own, as the edits of their ASIN and internal SKU leave them.
 
     The catalogue meets only what is as large as the batch: ids, ASINs and internal SKUs.
-    With ``changes``, others that stay as they are are left out.
+    With ``changes``, rows that stay as they are are left out.
     """
     by_asin = {"asin": F.col("asin")}
     others = untouched(catalogue, objects)
@@ -310,16 +319,20 @@ def _edited_catalogue(
     )
     holding = lookup(holding, ends, by_asin)
     asked = holding.select("key", F.coalesce("rec.first", F.lit(H.END)).alias("at"), "id")
-    lone = last_before(spread, asked, "key", "at", H.TAKEN, "lone-rows")
+    # Rows of an ASIN ask alike, so a key has no more times to ask for than the batch has ASINs.
+    times = asked.select("key", "at").distinct()
+    found = last_before(spread, times, "key", "at", H.TAKEN, "lone-rows", bounded=few)
+    lone = lookup(
+        asked, found.select("key", "at", F.struct(*H.TAKEN).alias("lone")),
+        {"key": F.col("key"), "at": F.col("at")}, "lone",
+    )
     others = lookup(others, ends, by_asin)
-    others = lookup(others, lone.select("id", F.struct(*H.TAKEN).alias("lone")), {"id": F.col("id")}, "lone", hot=False)
-    edited = lookup(objects, ends, by_asin, apart=True).withColumn("lone", F.lit(None).cast(others.schema["lone"].dataType))
+    others = lookup(others, lone.select("id", "lone"), {"id": F.col("id")}, "lone", hot=False)
     spread = F.struct("im_sku", "parent_sku", *ATTRIBUTIONS)
     others = _spread_to(others.withColumn("_was", spread), F.lit(0))
     if changes:
         others = others.where(~spread.eqNullSafe(F.col("_was")))
-    edited = _spread_to(edited, F.col("pos"))
-    return others.select(*CATALOGUE.names).unionByName(edited.select(*CATALOGUE.names))
+    return others.select(*CATALOGUE.names)
 
 
 class _Batch(NamedTuple):
@@ -333,14 +346,17 @@ class _Batch(NamedTuple):
 
 def _batch(catalogue: DataFrame, staging: DataFrame, edits: DataFrame, now: Column) -> _Batch:
     """What the edits do, staged: all of it is as large as the batch."""
-    checked = stage(H.check_edits(edits, staging), "checked-edits")
-    valid = checked.where(F.col("reason").isNull()).select(*EDITS.names, "pos")
-    count, latest = valid.agg(F.count("*"), F.max("pos")).first()
-    few = count <= H.FEW
+    is_valid = F.col("reason").isNull()
+    checked, seen = stage_counted(
+        H.check_edits(edits, staging), "checked-edits",
+        valid=F.count_if(is_valid), last=F.max(F.when(is_valid, F.col("pos"))),
+    )
+    valid = checked.where(is_valid).select(*EDITS.names, "pos")
+    few = seen["valid"] <= H.FEW
     history = H.with_history(valid, catalogue, few)
     events = stage(H.asin_events(history, H.handed_on(history, few)), "asin-events")
     ends = stage(H.at_the_end(events), "asin-ends")
-    fills = stage(H.filled(history, catalogue, ends, H.block_levels(latest), few), "fills")
+    fills = stage(H.filled(history, catalogue, ends, H.block_levels(seen["last"]), few), "fills")
     names = stage(H.names_before_the_end(history, catalogue, events, ends, few), "edited-names")
     objects = stage(_objects_of(history, catalogue, fills, names, now), "edited")
     return _Batch(checked, valid, history, ends, objects, few)
@@ -357,13 +373,15 @@ def apply_edits(
     """
     now = utc_now() if now is None else now
     b = _batch(catalogue, staging, edits, now)
+    answered = _edited_rows(b.objects, b.history, b.ends)
     return Edited(
-        catalogue=_edited_catalogue(catalogue, b.objects, b.history, b.ends),
+        catalogue=_other_rows(catalogue, b.objects, b.history, b.ends, b.few).unionByName(answered),
         staging=stage_edits(staging, b.objects, now),
         hierarchy=propagate_parent(hierarchy, b.valid, exact=True),
         summary=H.summary(b.history, catalogue, b.few),
         rejects=b.checked.where(F.col("reason").isNotNull()),
         objects=b.objects,
+        answered=answered,
     )
 
 
@@ -389,7 +407,8 @@ def edit_changes(
     b = _batch(catalogue, staging, edits, now)
     parents = _edits_by_exact_im_sku(b.valid).select(F.col("key").alias("im_sku"), "rec.parent_sku")
     parts = Changes(
-        catalogue=_edited_catalogue(catalogue, b.objects, b.history, b.ends, changes=True),
+        catalogue=_other_rows(catalogue, b.objects, b.history, b.ends, b.few, changes=True)
+        .unionByName(_edited_rows(b.objects, b.history, b.ends)),
         staging=staged_rows(staging, b.objects, now),
         hierarchy=parents,
         summary=H.summary(b.history, catalogue, b.few),

@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
@@ -51,6 +53,14 @@ def stage(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str, **totals: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``stage``, and aggregates of the rows by name, which the write adds up as it goes: asked
+    afterwards they would be a plan and jobs of their own."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(name) for name, c in totals.items()]), label)
+    return staged, seen.get
+
+
 def _fs(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target

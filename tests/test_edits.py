@@ -10,6 +10,7 @@ from skuflow.operators import edits as E
 from skuflow.operators import ordered
 from skuflow.operators.spans import least_holding
 from skuflow.schemas import ATTRIBUTIONS, CATALOGUE, HIERARCHY, STAGING
+from skuflow.session import stage_counted
 from tests.helpers import NOW, OLD, catalogue, edits, hierarchy, pick, staging
 
 SET = [
@@ -320,3 +321,61 @@ def test_totals_of_few_rows_are_not_staged(spark, monkeypatch):
     bounded = ordered.running_total(rows, "asin", "at", "change", "moved", "totals", bounded=True)
     assert pick(bounded, "asin", "at", "moved") == sliced
     assert bounded.columns == ["asin", "at", "change", "moved"]
+
+
+def test_totals_of_a_stage_are_added_up_by_its_write(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "n long, s string")
+    spark.sparkContext.setJobGroup("counted", "")
+    staged, seen = stage_counted(rows, "counted", n=F.count("*"), s=F.count("s"), last=F.max("n"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    assert seen == {"n": 3, "s": 2, "last": 3} and len(jobs) == 1
+    assert pick(staged, "n", "s") == [(1, "a"), (2, None), (3, "b")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # A side that turns out to be empty while the write runs has totals too.
+    none = rows.join(rows.where("n > 5").groupBy("s").count(), "s")
+    assert stage_counted(none, "counted", n=F.count("*"), last=F.max("n"))[1] == {"n": 0, "last": None}
+
+
+def _shared(spark):
+    """Rows 3 to 6 share the internal SKU of edits until their ASIN, if any, gets another; id 9
+    is there twice."""
+    cat = catalogue(spark, [
+        {"id": 1, "asin": "A", "im_sku": "X"}, {"id": 2, "asin": "B", "im_sku": "X"},
+        {"id": 3, "asin": "C", "im_sku": "x"}, {"id": 4, "asin": "A", "im_sku": "X"},
+        {"id": 5, "asin": "B", "im_sku": "X"}, {"id": 6, "asin": "B", "im_sku": "X"},
+        {"id": 9, "asin": "D", "im_sku": "X"}, {"id": 9, "asin": "D", "im_sku": "X"},
+    ])
+    batch = edits(spark, [
+        {"edit_seq": 1, "id": 7, "marketplace_sku": "S7", "asin": "Z", "im_sku": "X", "parent_sku": "P1"},
+        {"edit_seq": 2, "id": 1, "marketplace_sku": "S1", "asin": "A", "im_sku": "Y", "parent_sku": "P2"},
+        {"edit_seq": 3, "id": 7, "marketplace_sku": "S7", "asin": "Z", "im_sku": "X", "parent_sku": "P3"},
+        {"edit_seq": 4, "id": 2, "marketplace_sku": "S2", "asin": "B", "im_sku": "W", "parent_sku": "P4"},
+        {"edit_seq": 5, "id": 7, "marketplace_sku": "S7", "asin": "Z", "im_sku": "X", "parent_sku": "P5"},
+    ])
+    return cat, batch
+
+
+def test_other_rows_are_neither_ranged_nor_staged_for_few_edits(spark, monkeypatch):
+    cat, batch = _shared(spark)
+    want = E.apply_edits(cat, staging(spark, []), hierarchy(spark, []), batch, _now())
+    rows = pick(want.catalogue, "id", "im_sku", "parent_sku")
+    assert [r for r in rows if r[0] in (3, 4, 5, 6)] == [
+        (3, "x", "P5"), (4, "Y", "P1"), (5, "W", "P3"), (6, "W", "P3"),
+    ]
+    monkeypatch.setattr(H, "FEW", 0)
+    many = E.apply_edits(cat, staging(spark, []), hierarchy(spark, []), batch, _now())
+    assert pick(many.catalogue, "id", "im_sku", "parent_sku") == rows
+    monkeypatch.setattr(H, "FEW", 1_000_000)
+    b = E._batch(cat, staging(spark, []), batch, _now())
+    monkeypatch.setattr(ordered, "stage", None)
+    got = E._other_rows(cat, b.objects, b.history, b.ends, True)
+    assert pick(got, "id", "im_sku", "parent_sku") == [r for r in rows if r[0] not in (1, 2, 7)]
+
+
+def test_answers_take_the_edited_rows_only(spark):
+    cat, batch = _shared(spark)
+    got = E.apply_edits(cat, staging(spark, []), hierarchy(spark, []), batch, _now())
+    assert pick(got.answered, *CATALOGUE.names) == pick(got.catalogue.where("id in (1, 2, 7)"), *CATALOGUE.names)
+    whole = E.edit_responses(got.catalogue, got.objects, got.summary)
+    answers = E.edit_responses(got.answered, got.objects, got.summary)
+    assert pick(answers, *answers.columns) == pick(whole, *whole.columns) and answers.count() == 3
